@@ -1,0 +1,179 @@
+"""Compression of a log to unit rows over design points, and distributed sums over them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.units import null_safe_join
+from ..sources.work import checkpointed
+from .design import Model
+
+MAX_POINTS = 20_000
+MAX_ITEM_EFFECTS = 2_000
+_BLOCK_VALUES = 4_000_000  # numbers in one dense block inside a task
+
+
+@dataclass
+class Compressed:
+    """Unit rows (on the cluster) and everything that has the size of the design (here)."""
+
+    rows: DataFrame  # d array<int>, n array<double>, s array<double>, m multiplicity
+    x: np.ndarray  # D x p fixed design
+    za: np.ndarray  # D x qa unit design
+    zb: np.ndarray  # D x (items * qb) item design
+    qb: int
+    items: list
+    n: np.ndarray  # D totals
+    s: np.ndarray
+    syy: float
+    units: int
+
+    @property
+    def size(self) -> float:
+        return float(self.n.sum())
+
+    @property
+    def e(self) -> np.ndarray:
+        return np.concatenate([self.zb, self.x], axis=1)
+
+
+def cells_of(df: DataFrame, model: Model) -> DataFrame:
+    """Count, sum and sum of squares per (unit, item, predictor values); incomplete rows go."""
+    groups = [r.group for r in model.random]
+    keys = list(dict.fromkeys([*groups, *model.variables]))
+    y = F.col(model.response).cast("double")
+    return (
+        df.select(*keys, y.alias("_y"))
+        .dropna()
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("_n"),
+            F.sum("_y").alias("_s"),
+            F.sum(F.col("_y") * F.col("_y")).alias("_ss"),
+        )
+    )
+
+
+def compress(df: DataFrame, model: Model, merge_equal: bool) -> Compressed:
+    """One row per unit over indexed design points.
+
+    A unit has at most one entry per design point, so its row is bounded by ``MAX_POINTS``
+    however many trials it has. ``merge_equal`` collapses units with the same counts and sums
+    (they contribute the same to a logistic likelihood).
+    """
+    if not 1 <= len(model.random) <= 2:
+        raise ValueError("a mixed model needs one or two random groupings")
+    unit = model.random[0]
+    item = model.random[1] if len(model.random) == 2 else None
+    cells = checkpointed(cells_of(df, model))
+    point_keys = list(dict.fromkeys(([item.group] if item else []) + model.variables))
+    totals = (
+        cells.groupBy(*point_keys)
+        .agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"), F.sum("_ss").alias("ss"))
+        .limit(MAX_POINTS + 1)
+        .toPandas()
+    )
+    if len(totals) > MAX_POINTS:
+        raise ValueError(
+            f"more than {MAX_POINTS} distinct combinations of item and predictor values"
+        )
+    if totals.empty or totals["n"].sum() == 0:
+        raise ValueError("no complete rows to fit")
+    if point_keys:
+        totals = totals.sort_values(point_keys, ignore_index=True)
+    points = {v: totals[v].tolist() for v in model.variables}
+    rows = len(totals)
+    x = _rows(model.matrix(points), rows)
+    za = _rows(model.matrix(points, unit.terms, unit.intercept), rows)
+    zb, qb, items = np.zeros((rows, 0)), 0, []
+    if item:
+        small = _rows(model.matrix(points, item.terms, item.intercept), rows)
+        items, qb = sorted(set(totals[item.group].tolist())), small.shape[1]
+        if len(items) * qb > MAX_ITEM_EFFECTS:
+            raise ValueError(
+                f"{len(items)} items x {qb} effects exceed {MAX_ITEM_EFFECTS}; "
+                "put the larger grouping first"
+            )
+        at = {v: i for i, v in enumerate(items)}
+        zb = np.zeros((rows, len(items) * qb))
+        for d, v in enumerate(totals[item.group].tolist()):
+            zb[d, at[v] * qb : (at[v] + 1) * qb] = small[d]
+    if point_keys:
+        index = df.sparkSession.createDataFrame(
+            totals[point_keys].assign(_d=np.arange(rows, dtype="int32")),
+            cells.select(*point_keys).schema.add("_d", T.IntegerType()),
+        )
+        indexed = null_safe_join(cells, F.broadcast(index), point_keys, "inner")
+    else:
+        indexed = cells.withColumn("_d", F.lit(0))
+    entries = F.array_sort(F.collect_list(F.struct("_d", "_n", "_s")))
+    per_unit = (
+        indexed.groupBy(unit.group)
+        .agg(entries.alias("_c"))
+        .select(
+            F.col("_c._d").alias("d"), F.col("_c._n").alias("n"), F.col("_c._s").alias("s")
+        )
+    )
+    if merge_equal:
+        per_unit = per_unit.groupBy("d", "n", "s").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    else:
+        per_unit = per_unit.withColumn("m", F.lit(1.0))
+    per_unit = checkpointed(per_unit)
+    return Compressed(
+        per_unit,
+        x,
+        za,
+        zb,
+        qb,
+        items,
+        totals["n"].to_numpy(float),
+        totals["s"].to_numpy(float),
+        float(totals["ss"].sum()),
+        int(per_unit.agg(F.sum("m")).first()[0]),
+    )
+
+
+def _rows(m: np.ndarray, rows: int) -> np.ndarray:
+    return m if m.shape[0] == rows else np.repeat(m, rows, axis=0)
+
+
+def padded(pdf: pd.DataFrame, points: int) -> tuple[np.ndarray, ...]:
+    """Ragged unit entries as rectangular arrays; the padding points at row ``points``."""
+    width = max(len(v) for v in pdf["d"])
+    d = np.full((len(pdf), width), points)
+    n = np.zeros((len(pdf), width))
+    s = np.zeros((len(pdf), width))
+    for i, (dv, nv, sv) in enumerate(zip(pdf["d"], pdf["n"], pdf["s"])):
+        d[i, : len(dv)], n[i, : len(dv)], s[i, : len(dv)] = dv, nv, sv
+    return d, n, s, pdf["m"].to_numpy(float)
+
+
+def sum_over_units(
+    rows: DataFrame,
+    block_sum: Callable[[tuple[np.ndarray, ...]], np.ndarray],
+    points: int,
+    per_unit_values: int,
+) -> np.ndarray:
+    """Sum of ``block_sum`` over blocks of units: summed in tasks, then as a tree."""
+    block = max(1, _BLOCK_VALUES // max(1, per_unit_values))
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                part = block_sum(padded(pdf.iloc[at : at + block], points))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"v": [total.tobytes()], "c": [np.iscomplexobj(total)]})
+
+    parts = rows.mapInPandas(partials, "v binary, c boolean").rdd.map(
+        lambda r: np.frombuffer(r.v, dtype=complex if r.c else float)
+    )
+    return parts.treeReduce(lambda a, b: a + b)
