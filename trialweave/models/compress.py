@@ -17,6 +17,9 @@ from .design import Model
 
 MAX_POINTS = 20_000
 MAX_ITEM_EFFECTS = 2_000
+# Unit rows holding at most this many numbers are evaluated here: below it, starting a job for
+# every step of an optimiser costs more than the arithmetic. Above it, every evaluation is a job.
+LOCAL_VALUES = 200_000
 _BLOCK_VALUES = 4_000_000  # numbers in one dense block inside a task
 
 
@@ -24,7 +27,8 @@ _BLOCK_VALUES = 4_000_000  # numbers in one dense block inside a task
 class Compressed:
     """Unit rows (on the cluster) and everything that has the size of the design (here)."""
 
-    rows: DataFrame  # d array<int>, n array<double>, s array<double>, m multiplicity
+    rows: DataFrame
+    local: pd.DataFrame | None  # the same rows, when they are few
     x: np.ndarray  # D x p fixed design
     za: np.ndarray  # D x qa unit design
     zb: np.ndarray  # D x (items * qb) item design
@@ -44,35 +48,43 @@ class Compressed:
         return np.concatenate([self.zb, self.x], axis=1)
 
 
-def cells_of(df: DataFrame, model: Model) -> DataFrame:
+def cells_of(df: DataFrame, model: Model, weight: str | None = None) -> DataFrame:
     """Count, sum and sum of squares per (unit, item, predictor values); incomplete rows go."""
     groups = [r.group for r in model.random]
     keys = list(dict.fromkeys([*groups, *model.variables]))
     y = F.col(model.response).cast("double")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     return (
-        df.select(*keys, y.alias("_y"))
+        df.select(*keys, y.alias("_y"), w.alias("_w"))
         .dropna()
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).cast("double").alias("_n"),
-            F.sum("_y").alias("_s"),
-            F.sum(F.col("_y") * F.col("_y")).alias("_ss"),
+            F.sum("_w").alias("_n"),
+            F.sum(F.col("_w") * F.col("_y")).alias("_s"),
+            F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("_ss"),
         )
     )
 
 
-def compress(df: DataFrame, model: Model, merge_equal: bool) -> Compressed:
-    """One row per unit over indexed design points.
+def compress(
+    df: DataFrame,
+    model: Model,
+    linear: bool,
+    weight: str | None = None,
+    local_values: int = LOCAL_VALUES,
+) -> Compressed:
+    """Unit rows over indexed design points; units that contribute alike share a row.
 
-    A unit has at most one entry per design point, so its row is bounded by ``MAX_POINTS``
-    however many trials it has. ``merge_equal`` collapses units with the same counts and sums
-    (they contribute the same to a logistic likelihood).
+    A unit has at most one entry per design point, so a row is bounded by ``MAX_POINTS`` however
+    many trials its units have. Rows hold the points ``d``, trial counts ``n`` and multiplicity
+    ``m``. Logistic rows add the successes ``s``. Linear rows are shared by all units with the
+    same counts and add sums ``t`` and cross-products ``tt`` of the units' projected responses.
     """
     if not 1 <= len(model.random) <= 2:
         raise ValueError("a mixed model needs one or two random groupings")
     unit = model.random[0]
     item = model.random[1] if len(model.random) == 2 else None
-    cells = checkpointed(cells_of(df, model))
+    cells = checkpointed(cells_of(df, model, weight))
     point_keys = list(dict.fromkeys(([item.group] if item else []) + model.variables))
     totals = (
         cells.groupBy(*point_keys)
@@ -84,7 +96,7 @@ def compress(df: DataFrame, model: Model, merge_equal: bool) -> Compressed:
         raise ValueError(
             f"more than {MAX_POINTS} distinct combinations of item and predictor values"
         )
-    if totals.empty or totals["n"].sum() == 0:
+    if totals.empty or not totals["n"].sum() > 0:
         raise ValueError("no complete rows to fit")
     if point_keys:
         totals = totals.sort_values(point_keys, ignore_index=True)
@@ -105,29 +117,34 @@ def compress(df: DataFrame, model: Model, merge_equal: bool) -> Compressed:
         zb = np.zeros((rows, len(items) * qb))
         for d, v in enumerate(totals[item.group].tolist()):
             zb[d, at[v] * qb : (at[v] + 1) * qb] = small[d]
-    if point_keys:
-        index = df.sparkSession.createDataFrame(
-            totals[point_keys].assign(_d=np.arange(rows, dtype="int32")),
-            cells.select(*point_keys).schema.add("_d", T.IntegerType()),
-        )
-        indexed = null_safe_join(cells, F.broadcast(index), point_keys, "inner")
-    else:
-        indexed = cells.withColumn("_d", F.lit(0))
+    indexed = _index_cells(cells, totals, point_keys, za)
     entries = F.array_sort(F.collect_list(F.struct("_d", "_n", "_s")))
-    per_unit = (
-        indexed.groupBy(unit.group)
-        .agg(entries.alias("_c"))
-        .select(
-            F.col("_c._d").alias("d"), F.col("_c._n").alias("n"), F.col("_c._s").alias("s")
+    q = za.shape[1]
+    if linear:
+        t = [F.sum(F.col("_s") * F.col(f"_z{j}")).alias(f"_t{j}") for j in range(q)]
+        per_unit = indexed.groupBy(unit.group).agg(entries.alias("_c"), *t)
+        pairs = [(i, j) for i in range(q) for j in range(q)]
+        unit_rows = per_unit.groupBy(F.col("_c._d").alias("d"), F.col("_c._n").alias("n")).agg(
+            F.count(F.lit(1)).cast("double").alias("m"),
+            F.array(*[F.sum(f"_t{j}") for j in range(q)]).alias("t"),
+            F.array(*[F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")) for i, j in pairs]).alias("tt"),
         )
-    )
-    if merge_equal:
-        per_unit = per_unit.groupBy("d", "n", "s").agg(F.count(F.lit(1)).cast("double").alias("m"))
     else:
-        per_unit = per_unit.withColumn("m", F.lit(1.0))
-    per_unit = checkpointed(per_unit)
+        unit_rows = (
+            indexed.groupBy(unit.group)
+            .agg(entries.alias("_c"))
+            .groupBy(
+                F.col("_c._d").alias("d"), F.col("_c._n").alias("n"), F.col("_c._s").alias("s")
+            )
+            .agg(F.count(F.lit(1)).cast("double").alias("m"))
+        )
+    # few bytes, much arithmetic: spread by cores, not by size
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    unit_rows = checkpointed(unit_rows.repartition(cores))
+    units, values = unit_rows.agg(F.sum("m"), F.sum(F.size("d"))).first()
     return Compressed(
-        per_unit,
+        unit_rows,
+        unit_rows.toPandas() if values <= local_values else None,
         x,
         za,
         zb,
@@ -136,44 +153,72 @@ def compress(df: DataFrame, model: Model, merge_equal: bool) -> Compressed:
         totals["n"].to_numpy(float),
         totals["s"].to_numpy(float),
         float(totals["ss"].sum()),
-        int(per_unit.agg(F.sum("m")).first()[0]),
+        int(units),
     )
 
 
+def _index_cells(cells, totals, point_keys, za) -> DataFrame:
+    """Cells with the number of their design point and its unit design (both size-checked)."""
+    table = pd.DataFrame({"_d": np.arange(len(za), dtype="int32")})
+    for j in range(za.shape[1]):
+        table[f"_z{j}"] = za[:, j]
+    if not point_keys:
+        return cells.select("*", *[F.lit(v).alias(c) for c, v in table.iloc[0].items()]).withColumn(
+            "_d", F.col("_d").cast("int")
+        )
+    schema = cells.select(*point_keys).schema.add("_d", T.IntegerType())
+    for j in range(za.shape[1]):
+        schema = schema.add(f"_z{j}", T.DoubleType())
+    index = cells.sparkSession.createDataFrame(
+        pd.concat([totals[point_keys], table], axis=1), schema
+    )
+    return null_safe_join(cells, F.broadcast(index), point_keys, "inner")
+
+
 def _rows(m: np.ndarray, rows: int) -> np.ndarray:
     return m if m.shape[0] == rows else np.repeat(m, rows, axis=0)
 
 
-def padded(pdf: pd.DataFrame, points: int) -> tuple[np.ndarray, ...]:
-    """Ragged unit entries as rectangular arrays; the padding points at row ``points``."""
+def padded(pdf: pd.DataFrame, points: int, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """Ragged entries as rectangular arrays; padding points at row ``points`` and counts nothing."""
     width = max(len(v) for v in pdf["d"])
-    d = np.full((len(pdf), width), points)
-    n = np.zeros((len(pdf), width))
-    s = np.zeros((len(pdf), width))
-    for i, (dv, nv, sv) in enumerate(zip(pdf["d"], pdf["n"], pdf["s"])):
-        d[i, : len(dv)], n[i, : len(dv)], s[i, : len(dv)] = dv, nv, sv
-    return d, n, s, pdf["m"].to_numpy(float)
+    out = []
+    for c in columns:
+        rect = np.full((len(pdf), width), points if c == "d" else 0.0)
+        for i, v in enumerate(pdf[c]):
+            rect[i, : len(v)] = v
+        out.append(rect.astype(int) if c == "d" else rect)
+    return out
 
 
 def sum_over_units(
-    rows: DataFrame,
-    block_sum: Callable[[tuple[np.ndarray, ...]], np.ndarray],
-    points: int,
+    c: Compressed,
+    block_sum: Callable[[pd.DataFrame], np.ndarray],
     per_unit_values: int,
 ) -> np.ndarray:
-    """Sum of ``block_sum`` over blocks of units: summed in tasks, then as a tree."""
+    """Sum of ``block_sum`` over blocks of unit rows: summed in tasks, then as a tree."""
     block = max(1, _BLOCK_VALUES // max(1, per_unit_values))
 
+    def over(pdf: pd.DataFrame):
+        total = None
+        for at in range(0, len(pdf), block):
+            part = block_sum(pdf.iloc[at : at + block])
+            total = part if total is None else total + part
+        return total
+
+    if c.local is not None:
+        return over(c.local)
+
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
-            for at in range(0, len(pdf), block):
-                part = block_sum(padded(pdf.iloc[at : at + block], points))
+            part = over(pdf)
+            if part is not None:
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"v": [total.tobytes()], "c": [np.iscomplexobj(total)]})
 
-    parts = rows.mapInPandas(partials, "v binary, c boolean").rdd.map(
+    parts = c.rows.mapInPandas(partials, "v binary, c boolean").rdd.map(
         lambda r: np.frombuffer(r.v, dtype=complex if r.c else float)
     )
     return parts.treeReduce(lambda a, b: a + b)

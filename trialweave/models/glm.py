@@ -8,14 +8,21 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import checkpointed
 from .compress import cells_of
 from .design import Model
 from .fit import Fit
 
 
-def fit_glm(df: DataFrame, model: Model, tolerance: float = 1e-12, max_iter: int = 50) -> Fit:
+def fit_glm(
+    df: DataFrame,
+    model: Model,
+    weight: str | None = None,
+    tolerance: float = 1e-12,
+    max_iter: int = 50,
+) -> Fit:
     """Logistic fit of a 0/1 response; rows are first collapsed to weighted predictor cells."""
-    cells = cells_of(df, model)
+    cells = checkpointed(cells_of(df, model, weight))
     names = [f"_x{i}" for i in range(len(model.column_expressions()))]
     cols = [e.alias(n) for n, (_, e) in zip(names, model.column_expressions())]
     outcomes = F.explode(

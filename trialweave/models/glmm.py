@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .compress import Compressed, compress, sum_over_units
+from .compress import LOCAL_VALUES, Compressed, compress, padded, sum_over_units
 from .design import Model
 from .fit import Fit, lower_triangle, newton_direction, theta_start
 
@@ -25,36 +25,38 @@ def _unit_modes(c: Compressed, etas: list[np.ndarray], lambdas: list[np.ndarray]
     e = c.e
     m = e.shape[1] if curvature else 0
 
-    def block_sum(block):
-        d, n, s, weight = block
+    def block_sum(pdf):
+        d, n, s = padded(pdf, points, ("d", "n", "s"))
+        weight = pdf["m"].to_numpy(float)
         out = []
         for eta_fixed, lam in zip(eta0, lambdas):
             z = za[d] @ lam
-            u = np.zeros((len(d), q))
+            zt = z.transpose(0, 2, 1)
+            u = np.zeros((len(d), q, 1))
             fixed = eta_fixed[d]
-            for _ in range(100):
-                eta = fixed + np.einsum("ukq,uq->uk", z, u)
+
+            def at(u):
+                eta = fixed + (z @ u)[:, :, 0]
                 mu = 1.0 / (1.0 + np.exp(-eta))
                 w = n * mu * (1.0 - mu)
-                h = np.einsum("ukq,uk,ukr->uqr", z, w, z) + np.eye(q)
-                g = np.einsum("ukq,uk->uq", z, s - n * mu) - u
-                step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+                return eta, mu, w, zt @ (w[:, :, None] * z) + np.eye(q)
+
+            for _ in range(100):
+                _, mu, _, h = at(u)
+                step = np.linalg.solve(h, zt @ (s - n * mu)[:, :, None] - u)
                 u = u + np.clip(step, -3.0, 3.0)
                 if np.max(np.abs(step)) < 1e-10:
                     break
-            eta = fixed + np.einsum("ukq,uq->uk", z, u)
-            mu = 1.0 / (1.0 + np.exp(-eta))
-            w = n * mu * (1.0 - mu)
-            h = np.einsum("ukq,uk,ukr->uqr", z, w, z) + np.eye(q)
+            eta, mu, w, h = at(u)
             log_lik = np.sum(s * eta - n * np.logaddexp(0.0, eta), axis=1)
-            log_lik = log_lik - 0.5 * np.sum(u * u, axis=1)
+            log_lik = log_lik - 0.5 * np.sum(u * u, axis=(1, 2))
             part = [np.array([weight @ log_lik, weight @ np.linalg.slogdet(h)[1]])]
             if m:
                 score = np.bincount(d.ravel(), (weight[:, None] * (s - n * mu)).ravel(), points + 1)
                 info = np.bincount(d.ravel(), (weight[:, None] * w).ravel(), points + 1)
                 dense = np.zeros((len(d), points + 1, q))
                 dense[np.arange(len(d))[:, None], d] = w[:, :, None] * z
-                cross = np.einsum("dm,udq->umq", e, dense[:, :points], optimize=True)
+                cross = e.T @ dense[:, :points]
                 left = cross @ np.linalg.inv(h) * weight[:, None, None]
                 left = left.transpose(1, 0, 2).reshape(m, -1)
                 taken = left @ cross.transpose(0, 2, 1).reshape(-1, m)
@@ -63,7 +65,7 @@ def _unit_modes(c: Compressed, etas: list[np.ndarray], lambdas: list[np.ndarray]
         return np.array(out).ravel()
 
     per_unit = (points + 1) * q * (2 if m else 0) + m * q * 3 + 64
-    total = sum_over_units(c.rows, block_sum, points, per_unit).reshape(len(etas), -1)
+    total = sum_over_units(c, block_sum, per_unit).reshape(len(etas), -1)
     found = []
     for t in total:
         if not m:
@@ -153,10 +155,15 @@ def fixed_start(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
 
 
 def fit_glmm(
-    df: DataFrame, model: Model, tolerance: float = 1e-4, max_steps: int = 25
+    df: DataFrame,
+    model: Model,
+    weight: str | None = None,
+    tolerance: float = 1e-4,
+    max_steps: int = 25,
+    local_values: int = LOCAL_VALUES,
 ) -> Fit:
     """Fit a 0/1 response; ``tolerance`` bounds the expected gain in deviance of a further step."""
-    c = compress(df, model, merge_equal=True)
+    c = compress(df, model, False, weight, local_values)
     dev = _Laplace(c)
     beta, cov = fixed_start(c.x, c.n, c.s)
     starts = [theta_start(c.za.shape[1])] + ([theta_start(c.qb)] if c.qb else [])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .design import Model
 from .fit import Fit, lower_triangle, newton_direction, theta_start
-from .compress import Compressed, compress, sum_over_units
+from .compress import LOCAL_VALUES, Compressed, compress, padded, sum_over_units
 
 _H = 1e-20  # complex step
 _DELTA = 1e-5
@@ -27,28 +27,35 @@ def _unit_sums(c: Compressed, lambdas: list[np.ndarray]) -> list[tuple[np.ndarra
     m = e.shape[1] + 1
     lams = np.array(lambdas)
 
-    def block_sum(block):
-        d, n, s, _ = block
+    def block_sum(pdf):
+        d, n = padded(pdf, points, ("d", "n"))
+        weight = pdf["m"].to_numpy(float)
+        t = np.stack(pdf["t"].to_numpy())
+        tt = np.stack(pdf["tt"].to_numpy()).reshape(-1, q, q)
         z = za[d]
-        gram = np.einsum("ukq,uk,ukr->uqr", z, n, z)
+        nz = n[:, :, None] * z
+        gram = nz.transpose(0, 2, 1) @ z
         dense = np.zeros((len(d), points + 1, q))
-        dense[np.arange(len(d))[:, None], d] = n[:, :, None] * z
-        cross = np.empty((len(d), m, q))
-        cross[:, : m - 1] = np.einsum("dm,udq->umq", e, dense[:, :points], optimize=True)
-        cross[:, m - 1] = np.einsum("uk,ukq->uq", s, z)
-        right = cross.transpose(0, 2, 1).reshape(-1, m)
+        dense[np.arange(len(d))[:, None], d] = nz
+        cross = e.T @ dense[:, :points]
+        right = cross.transpose(0, 2, 1).reshape(-1, m - 1)
         out = []
         for lam in lams:
             w = lam.T @ gram @ lam + np.eye(q)
             f = lam @ np.linalg.solve(w, np.broadcast_to(lam.T, w.shape))
-            left = (cross @ f).transpose(1, 0, 2).reshape(m, -1)
+            left = cross @ f
+            s = np.empty((m, m), dtype=f.dtype)
+            weighted = left * weight[:, None, None]
+            s[:-1, :-1] = weighted.transpose(1, 0, 2).reshape(m - 1, -1) @ right
+            s[:-1, -1] = s[-1, :-1] = np.einsum("umq,uq->m", left, t)
+            s[-1, -1] = np.sum(f * tt)
             sign, logabs = np.linalg.slogdet(w)
-            out.append(np.append((left @ right).ravel(), np.sum(logabs + np.log(sign))))
+            out.append(np.append(s.ravel(), np.sum(weight * (logabs + np.log(sign)))))
         return np.array(out).ravel()
 
-    total = sum_over_units(c.rows, block_sum, points, (points + 1) * q * 2 + m * q * 4)
+    total = sum_over_units(c, block_sum, (points + 1) * q * 2 + m * q * 4)
     total = total.reshape(len(lambdas), m * m + 1)
-    return [(t[:-1].reshape(m, m), t[-1]) for t in total]
+    return [(v[:-1].reshape(m, m), v[-1]) for v in total]
 
 
 def _log_det(a: np.ndarray):
@@ -89,10 +96,19 @@ class _Deviance:
 
 
 def fit_lmm(
-    df: DataFrame, model: Model, reml: bool = True, tolerance: float = 1e-9, max_steps: int = 60
+    df: DataFrame,
+    model: Model,
+    reml: bool = True,
+    weight: str | None = None,
+    tolerance: float = 1e-9,
+    max_steps: int = 60,
+    local_values: int = LOCAL_VALUES,
 ) -> Fit:
-    """Fit by Newton steps on the relative covariance parameters."""
-    c = compress(df, model, merge_equal=False)
+    """Fit by Newton steps on the relative covariance parameters.
+
+    ``weight`` names a column of case counts for rows that stand for several equal ones.
+    """
+    c = compress(df, model, True, weight, local_values)
     return _fit(c, model, reml, tolerance, max_steps)
 
 
