@@ -19,7 +19,7 @@ MAX_POINTS = 20_000
 MAX_ITEM_EFFECTS = 2_000
 # Unit rows holding at most this many numbers are evaluated here: below it, starting a job for
 # every step of an optimiser costs more than the arithmetic. Above it, every evaluation is a job.
-LOCAL_VALUES = 200_000
+LOCAL_VALUES = 20_000
 _BLOCK_VALUES = 4_000_000  # numbers in one dense block inside a task
 
 

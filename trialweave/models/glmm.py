@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from .compress import LOCAL_VALUES, Compressed, compress, padded, sum_over_units
 from .design import Model
 from .fit import Fit, lower_triangle, newton_direction, theta_start
+from .lmm import linearised_theta
 
 
 def _unit_modes(c: Compressed, etas: list[np.ndarray], lambdas: list[np.ndarray], curvature: bool):
@@ -29,10 +30,10 @@ def _unit_modes(c: Compressed, etas: list[np.ndarray], lambdas: list[np.ndarray]
         d, n, s = padded(pdf, points, ("d", "n", "s"))
         weight = pdf["m"].to_numpy(float)
         out = []
+        u = np.zeros((len(d), q, 1))  # candidates are close: each starts at the modes before it
         for eta_fixed, lam in zip(eta0, lambdas):
             z = za[d] @ lam
             zt = z.transpose(0, 2, 1)
-            u = np.zeros((len(d), q, 1))
             fixed = eta_fixed[d]
 
             def at(u):
@@ -154,37 +155,54 @@ def fixed_start(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
     return beta, np.linalg.inv(info)
 
 
+def _away_from_zero(theta: np.ndarray, *sizes: int) -> np.ndarray:
+    """Starting standard deviations of at least 0.02: zero is stationary by symmetry."""
+    theta, at = theta.copy(), 0
+    for q in sizes:
+        lam = lower_triangle(theta[at : at + q * (q + 1) // 2], q)
+        lam = lam * np.where(np.diag(lam) < 0, -1.0, 1.0)
+        lam[np.diag_indices(q)] = np.maximum(np.diag(lam), 0.02)
+        theta[at : at + q * (q + 1) // 2] = lam[np.tril_indices(q)]
+        at += q * (q + 1) // 2
+    return theta
+
+
 def fit_glmm(
     df: DataFrame,
     model: Model,
     weight: str | None = None,
     tolerance: float = 1e-4,
-    max_steps: int = 25,
+    max_steps: int = 40,
     local_values: int = LOCAL_VALUES,
 ) -> Fit:
     """Fit a 0/1 response; ``tolerance`` bounds the expected gain in deviance of a further step."""
     c = compress(df, model, False, weight, local_values)
     dev = _Laplace(c)
     beta, cov = fixed_start(c.x, c.n, c.s)
-    starts = [theta_start(c.za.shape[1])] + ([theta_start(c.qb)] if c.qb else [])
-    # half the unit scale: logistic random effects are usually below one
-    point = np.concatenate([*(0.5 * t for t in starts), beta])
-    width = np.concatenate([np.full(dev.k, 0.02), 0.1 * np.sqrt(np.diag(cov))])
+    theta = linearised_theta(c, beta)
+    theta = _away_from_zero(theta, c.za.shape[1], c.qb)
+    point = np.concatenate([theta, beta])
+    width = np.concatenate([np.full(dev.k, 0.01), 0.2 * np.sqrt(np.diag(cov))])
     k = len(point)
 
+    def rescaled(hess):
+        """Widths that move the deviance by about a twentieth."""
+        return np.clip(np.sqrt(0.1 / np.maximum(np.abs(np.diag(hess)), 1e-12)), 1e-4, 0.01)
+
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+
     def package(p, w):
+        """Deviance, gradient and Hessian from one batch of points around p."""
         shifts = [np.zeros(k)]
         for i in range(k):
             shifts += [np.eye(k)[i], -np.eye(k)[i]]
-        pairs = [(i, j) for i in range(k) for j in range(i)]
         shifts += [np.eye(k)[i] + np.eye(k)[j] for i, j in pairs]
         v = dev([p + w * s for s in shifts])
         up, down = v[1 : 2 * k : 2], v[2 : 2 * k + 1 : 2]
-        grad = (up - down) / (2.0 * w)
         hess = np.diag((up - 2.0 * v[0] + down) / w**2)
         for (i, j), both in zip(pairs, v[2 * k + 1 :]):
             hess[i, j] = hess[j, i] = (both - up[i] - up[j] + v[0]) / (w[i] * w[j])
-        return v[0], grad, hess
+        return v[0], (up - down) / (2.0 * w), hess
 
     value, grad, hess = package(point, width)
     converged = False
@@ -201,13 +219,11 @@ def fit_glmm(
             converged = abs(gain) < 100 * tolerance
             break
         point = point + sizes[best] * step
-        value, grad, hess = package(point, width)
-    # a last, finer step around the optimum
-    value, grad, hess = package(point, width / 5.0)
+        value, grad, hess = package(point, rescaled(hess))
     step = newton_direction(grad, hess, limit=0.1)
-    final = dev([point + step, point])
-    if final[0] < final[1]:
-        point, value = point + step, float(final[0])
+    last = dev([point + step, point])
+    if last[0] < last[1]:
+        point = point + step
     value = float(dev([point])[0])
     theta_a, theta_b, beta = dev.parts(point)
     curvature = np.linalg.eigvalsh(hess)

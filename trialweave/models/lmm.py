@@ -19,7 +19,20 @@ _H = 1e-20  # complex step
 _DELTA = 1e-5
 
 
-def _unit_sums(c: Compressed, lambdas: list[np.ndarray]) -> list[tuple[np.ndarray, complex]]:
+def _linear_rows(c: Compressed):
+    """Unit rows of a linear model: counts, multiplicity and projected responses as stored."""
+    points, q = c.za.shape
+
+    def read(pdf):
+        d, n = padded(pdf, points, ("d", "n"))
+        t = np.stack(pdf["t"].to_numpy())
+        tt = np.stack(pdf["tt"].to_numpy()).reshape(-1, q, q)
+        return d, n, pdf["m"].to_numpy(float), t, tt
+
+    return read
+
+
+def _unit_sums(c: Compressed, lambdas: list[np.ndarray], read) -> list[tuple[np.ndarray, complex]]:
     """Per candidate: what eliminating the unit effects takes off the cross-products, and log det."""
     points, q = c.za.shape
     za = np.vstack([c.za, np.zeros((1, q))])
@@ -28,10 +41,7 @@ def _unit_sums(c: Compressed, lambdas: list[np.ndarray]) -> list[tuple[np.ndarra
     lams = np.array(lambdas)
 
     def block_sum(pdf):
-        d, n = padded(pdf, points, ("d", "n"))
-        weight = pdf["m"].to_numpy(float)
-        t = np.stack(pdf["t"].to_numpy())
-        tt = np.stack(pdf["tt"].to_numpy()).reshape(-1, q, q)
+        d, n, weight, t, tt = read(pdf)
         z = za[d]
         nz = n[:, :, None] * z
         gram = nz.transpose(0, 2, 1) @ z
@@ -64,13 +74,15 @@ def _log_det(a: np.ndarray):
 
 
 class _Deviance:
-    def __init__(self, c: Compressed, reml: bool):
-        self.c, self.reml = c, reml
+    """Profiled deviance; with ``known_scale`` the residual variance is 1 and not profiled out."""
+
+    def __init__(self, c: Compressed, reml: bool, n, s, syy: float, known_scale: bool = False):
+        self.c, self.reml, self.known_scale = c, reml, known_scale
         e = c.e
         g = np.zeros((e.shape[1] + 1,) * 2)
-        g[:-1, :-1] = e.T @ (c.n[:, None] * e)
-        g[:-1, -1] = g[-1, :-1] = e.T @ c.s
-        g[-1, -1] = c.syy
+        g[:-1, :-1] = e.T @ (n[:, None] * e)
+        g[:-1, -1] = g[-1, :-1] = e.T @ s
+        g[-1, -1] = syy
         self.g = g
 
     def solve(self, unit_sum, theta_b):
@@ -88,6 +100,8 @@ class _Deviance:
         xx, xy = a[:p, :p], a[:p, p]
         beta = np.linalg.solve(xx, xy)
         rss = a[p, p] - xy @ beta
+        if self.known_scale:
+            return log_det + rss, beta, 1.0, xx
         df = rows - p if self.reml else rows
         dev = log_det + df * (1.0 + np.log(2.0 * np.pi * rss / df))
         if self.reml:
@@ -112,8 +126,8 @@ def fit_lmm(
     return _fit(c, model, reml, tolerance, max_steps)
 
 
-def _fit(c: Compressed, model: Model, reml: bool, tolerance: float, max_steps: int) -> Fit:
-    dev = _Deviance(c, reml)
+def minimise_theta(c: Compressed, dev: _Deviance, read, tolerance: float, max_steps: int):
+    """Newton steps on the stacked covariance parameters; gives them and whether it converged."""
     qa, qb = c.za.shape[1], c.qb
     start_a, start_b = theta_start(qa), theta_start(qb) if qb else np.zeros(0)
     theta, da = np.concatenate([start_a, start_b]), len(start_a)
@@ -132,7 +146,7 @@ def _fit(c: Compressed, model: Model, reml: bool, tolerance: float, max_steps: i
                 if key not in keys:
                     keys[key] = len(wanted)
                     wanted.append(lower_triangle(point, qa))
-        sums = _unit_sums(c, wanted)
+        sums = _unit_sums(c, wanted, read)
         grads = np.zeros((k + 1, k))
         value = None
         for r, shift in enumerate(shifts):
@@ -147,28 +161,33 @@ def _fit(c: Compressed, model: Model, reml: bool, tolerance: float, max_steps: i
         return value, grads[0], (hess + hess.T) / 2.0
 
     value, grad, hess = package(theta)
-    converged = False
     for _ in range(max_steps):
         # the deviance is even in a standard deviation: a long step could land on the mirror image
         step = newton_direction(grad, hess, limit=0.5 * max(1.0, float(np.max(np.abs(theta)))))
         if np.max(np.abs(step)) < tolerance or np.max(np.abs(grad)) < tolerance:
-            converged = True
-            break
+            return theta, True
         trial = package(theta + step)
         if not trial[0] <= value + 1e-4 * (grad @ step) + 1e-12 * abs(value):
             sizes = 0.5 ** np.arange(1, 12)
             points = [theta + t * step for t in sizes]
-            sums = _unit_sums(c, [lower_triangle(p[:da], qa) for p in points])
+            sums = _unit_sums(c, [lower_triangle(p[:da], qa) for p in points], read)
             values = [dev.solve(s, p[da:])[0].real for s, p in zip(sums, points)]
             best = int(np.nanargmin(values))
             if not values[best] < value:
-                converged = bool(np.max(np.abs(grad)) < 1e-4 * (1 + abs(value)))
-                break
+                return theta, bool(np.max(np.abs(grad)) < 1e-4 * (1 + abs(value)))
             step = sizes[best] * step
             trial = package(theta + step)
         theta = theta + step
         value, grad, hess = trial
-    sums = _unit_sums(c, [lower_triangle(theta[:da], qa)])[0]
+    return theta, False
+
+
+def _fit(c: Compressed, model: Model, reml: bool, tolerance: float, max_steps: int) -> Fit:
+    dev, read = _Deviance(c, reml, c.n, c.s, c.syy), _linear_rows(c)
+    theta, converged = minimise_theta(c, dev, read, tolerance, max_steps)
+    qa, qb = c.za.shape[1], c.qb
+    da = len(theta_start(qa))
+    sums = _unit_sums(c, [lower_triangle(theta[:da], qa)], read)[0]
     value, beta, sigma2, xx = dev.solve(sums, theta[da:])
     covariances = [sigma2 * _gram(lower_triangle(theta[:da], qa))]
     if qb:
@@ -190,6 +209,30 @@ def _fit(c: Compressed, model: Model, reml: bool, tolerance: float, max_steps: i
     )
 
 
+def linearised_theta(c: Compressed, beta: np.ndarray) -> np.ndarray:
+    """Covariance parameters of a logistic model linearised around its fixed part.
+
+    A weighted linear mixed model on the working response; used as starting values.
+    """
+    points, q = c.za.shape
+    za = np.vstack([c.za, np.zeros((1, q))])
+    eta = c.x @ beta
+    mu = 1.0 / (1.0 + np.exp(-eta))
+    w = mu * (1.0 - mu)
+    pad = [np.append(v, 0.0) for v in (eta, mu, w)]
+
+    def read(pdf):
+        d, n, s = padded(pdf, points, ("d", "n", "s"))
+        work = n * pad[2][d] * pad[0][d] + s - n * pad[1][d]
+        t = np.einsum("uk,ukq->uq", work, za[d])
+        m = pdf["m"].to_numpy(float)
+        return d, n * pad[2][d], m, m[:, None] * t, m[:, None, None] * t[:, :, None] * t[:, None, :]
+
+    work = c.n * w * eta + c.s - c.n * mu
+    dev = _Deviance(c, False, c.n * w, work, 0.0, known_scale=True)
+    return minimise_theta(c, dev, read, 1e-4, 30)[0]
+
+
 def refit_ml(fit: Fit) -> Fit:
     """The same model by ML, on the unit rows already compressed."""
     if not fit.reml:
