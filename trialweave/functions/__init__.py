@@ -1,6 +1,6 @@
 """Column expressions: missing-value rules, text and recoding."""
 
-from .nulls import if_else, larger_of, not_in, num, strict_mean
+from .nulls import if_else, larger_of, log_value, not_in, num, strict_mean
 from .recode import (
     button_correct,
     code_by_prefix,

@@ -39,3 +39,9 @@ def strict_mean(c) -> Column:
     """Mean that is missing when any value of the group is missing."""
     c = _col(c)
     return F.when(F.count(F.lit(1)) == F.count(c), F.avg(c))
+
+
+def log_value(c) -> Column:
+    """Natural logarithm with -inf at 0 and NaN below (``ln`` of SQL gives NULL for both)."""
+    c = _col(c)
+    return F.when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan"))).otherwise(F.ln(c))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .units import UnitProfile, null_safe_join, profile_units
+from .units import UnitProfile, attach_group_stats, null_safe_join, profile_units
 
 _CHUNK = "_chunk"
 
@@ -118,12 +118,12 @@ def center_by(
 
     Written as aggregates joined back, not as windows: the second grouping has few large groups.
     """
-    from .units import attach_group_stats
-
+    if add_back:  # measured on the input, not on the joined table
+        back = profile_units(df, add_back)
     out = attach_group_stats(df, by, profile, _m=F.avg(value))
     out = out.withColumn(name, F.col(value) - F.col("_m")).drop("_m")
     if add_back:
-        out = attach_group_stats(out, add_back, None, _m=F.avg(value))
+        out = attach_group_stats(out, add_back, back, _m=F.avg(value))
         out = out.withColumn(name, F.col(name) + F.col("_m")).drop("_m")
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,12 +126,12 @@ def contingency(df: DataFrame, factors: Sequence[str], max_cells: int = 1_000_00
     Levels are read from the aggregated cells, so the data are shuffled once as counts.
     """
     present = df.dropna(subset=list(factors)).groupBy(*factors).agg(F.count(F.lit(1)).alias("n"))
-    level_sets = present.agg(*[F.collect_set(f).alias(f"_l_{f}") for f in factors])
-    cells = 1
-    for size in level_sets.select(*[F.size(f"_l_{f}").alias(f) for f in factors]).first():
-        cells *= size
+    # sketches first: the exact level lists are only gathered when they are known to be short
+    estimate = present.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
+    cells = math.prod(estimate)
     if cells > max_cells:
-        raise ValueError(f"contingency table would have {cells} cells (limit {max_cells})")
+        raise ValueError(f"contingency table would have about {cells} cells (limit {max_cells})")
+    level_sets = present.agg(*[F.collect_set(f).alias(f"_l_{f}") for f in factors])
     grid = level_sets
     for f in factors:
         grid = grid.withColumn(f, F.explode(f"_l_{f}")).drop(f"_l_{f}")

@@ -16,7 +16,7 @@ units, so one profile serves every later operator on that log.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +90,11 @@ def unit_join(
     how: str = "left",
     profile: UnitProfile | None = None,
 ) -> DataFrame:
-    """Join a log with a table that has at most one row per unit (inner, left, semi or anti)."""
+    """Join a log with a table of its units (inner, left, semi or anti).
+
+    ``side`` has at most one row per unit of the profiled log; the profile therefore bounds its
+    size. Tables from elsewhere go through ``lookup_join``.
+    """
     profile = profile or profile_units(log, keys)
     if profile.broadcastable:  # one row per unit, so the profile bounds its size
         return null_safe_join(log, F.broadcast(side), keys, how)
@@ -111,12 +115,26 @@ def unit_join(
 
 
 def lookup_join(
-    log: DataFrame, lookup: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_UNITS
+    log: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    rows: int | None = None,
+    profile: UnitProfile | None = None,
+    max_rows: int = BROADCAST_UNITS,
 ) -> DataFrame:
-    """Left n:1 join with a lookup table, broadcast only after its size is checked."""
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return null_safe_join(log, F.broadcast(lookup), keys, "left")
-    return unit_join(log, lookup, keys, "left", profile_units(log, keys, broadcast_units=0))
+    """n:1 join with a table that was not made from the log, so its own size has to be checked.
+
+    ``rows`` is a known upper bound of the lookup's size (for instance the count of the stored
+    table it is made of); without it the lookup is counted. Above ``max_rows`` the join is a
+    shuffle with hot units of the log salted.
+    """
+    if rows is None:
+        rows = lookup.limit(max_rows + 1).count()
+    if rows <= max_rows:
+        return null_safe_join(log, F.broadcast(lookup), keys, how)
+    profile = profile or profile_units(log, keys)
+    return unit_join(log, lookup, keys, how, replace(profile, broadcast_units=0))
 
 
 def natural_left_join(log: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def with_ages(data: DataFrame, log: DataFrame) -> DataFrame:
         log, ["subject"], {"Q0": "ppt_age"}, F.col("test_part") == "demographics"
     )
     ages = ages.groupBy("subject").agg(F.min(num("ppt_age")).alias("ppt_age"))
-    return unit_join(data, ages, ["subject"], "inner")
+    return unit_join(data, ages, ["subject"], "inner", profile_units(log, ["subject"]))
 
 
 def clean_empathy(log: DataFrame, minimum: float = 0.85) -> DataFrame:

@@ -24,6 +24,7 @@ from ..functions import (
     item_event,
     item_number,
     likert_score,
+    log_value,
     malformed_answer,
     map_values,
     match_class,
@@ -40,11 +41,11 @@ from ..functions import (
 )
 from ..operators import bootstrap, derive, exclude, order, quantiles, summarise
 from ..operators.units import (
+    BROADCAST_UNITS,
     attach_group_stats,
     lookup_join,
     natural_left_join,
     profile_units,
-    unit_join,
 )
 from ..sources import pseudonymise, read_log, union_logs, write_csv
 from ..sources.work import scratch_path
@@ -185,7 +186,7 @@ def numeric_coercion(spark, d):
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count("v").alias("n_numbers"),
-            r6(F.avg(F.ln("v"))).alias("mean_log"),
+            r6(F.avg(log_value("v"))).alias("mean_log"),
             r6(F.sqrt(F.sum("v"))).alias("root_sum"),
         )
     )
@@ -668,7 +669,7 @@ def exclusion_table(spark, d):
     """Hand-written exclusions with their reasons, shown next to the rows."""
     e = table(spark, d, "events").select("event_id", "user_id")
     rows = [(1, "first language"), (5, "no answer"), (7, "no answer")]
-    return unit_join(e, exclude.by_table(spark, USER, rows, ["bigint"]), USER, "left")
+    return lookup_join(e, exclude.by_table(spark, USER, rows, ["bigint"]), USER)
 
 
 @query(
@@ -919,7 +920,7 @@ def contingency_orders(spark, d):
     segment = table(spark, d, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment"
     )
-    joined = unit_join(orders, segment, ["o_custkey"], "inner")
+    joined = lookup_join(orders, segment, ["o_custkey"], "inner")
     return summarise.contingency(joined, ["o_orderstatus", "o_orderpriority", "c_mktsegment"])
 
 
@@ -1394,25 +1395,31 @@ def sales(spark, d) -> DataFrame:
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", "n_name", "r_name"
     )
-    people = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    # row counts and profiles are taken from the stored tables, not from what is joined of them
+    size = {t: table(spark, d, t).count() for t in ("nation", "customer", "orders", "supplier")}
+    people = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment"
+    )
     people = lookup_join(
-        people, places.toDF("c_nationkey", "ppt_race", "ppt_gender"), ["c_nationkey"]
+        people, places.toDF("c_nationkey", "ppt_race", "ppt_gender"), ["c_nationkey"],
+        rows=size["nation"],
     )
     actors = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     actors = lookup_join(
-        actors, places.toDF("s_nationkey", "actor_race", "actor_gender"), ["s_nationkey"]
+        actors, places.toDF("s_nationkey", "actor_race", "actor_gender"), ["s_nationkey"],
+        rows=size["nation"],
     )
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    orders = unit_join(
-        orders, people.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"], "inner"
-    )
-    lines = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"
-    )
-    lines = unit_join(lines, orders, ["l_orderkey"], "inner")
-    return unit_join(lines, actors, ["l_suppkey"], "inner").withColumnRenamed(
-        "o_custkey", "c_custkey"
-    )
+    orders = lookup_join(orders, people, ["o_custkey"], "inner", size["customer"])
+    stored = table(spark, d, "lineitem")
+    lines = stored.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    lines = lookup_join(lines, orders, ["l_orderkey"], "inner", size["orders"])
+    by_supplier = None
+    if size["supplier"] > BROADCAST_UNITS:
+        by_supplier = profile_units(stored, ["l_suppkey"])
+    return lookup_join(
+        lines, actors, ["l_suppkey"], "inner", size["supplier"], by_supplier
+    ).withColumnRenamed("o_custkey", "c_custkey")
 
 
 @query(
