@@ -18,8 +18,8 @@ def fit_glm(
     df: DataFrame,
     model: Model,
     weight: str | None = None,
-    tolerance: float = 1e-12,
-    max_iter: int = 50,
+    tolerance: float = 1e-10,
+    max_iter: int = 25,
 ) -> Fit:
     """Logistic fit of a 0/1 response; rows are first collapsed to weighted predictor cells."""
     cells = checkpointed(cells_of(df, model, weight))

@@ -212,14 +212,20 @@ def fit_glmm(
         if abs(gain) < tolerance:
             converged = True
             break
-        sizes = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01]
-        values = dev([point + t * step for t in sizes])
-        best = int(np.nanargmin(values))
-        if not values[best] < value:
-            converged = abs(gain) < 100 * tolerance
-            break
-        point = point + sizes[best] * step
-        value, grad, hess = package(point, rescaled(hess))
+        trial = package(point + step, rescaled(hess))
+        if not trial[0] < value:
+            if abs(gain) < 100 * tolerance:
+                converged = True
+                break
+            sizes = [0.5, 0.25, 0.1, 0.03, 0.01, 0.003]
+            values = dev([point + t * step for t in sizes])
+            best = int(np.nanargmin(values))
+            if not values[best] < value:
+                break
+            step = sizes[best] * step
+            trial = package(point + step, rescaled(hess))
+        point = point + step
+        value, grad, hess = trial
     step = newton_direction(grad, hess, limit=0.1)
     last = dev([point + step, point])
     if last[0] < last[1]:

@@ -230,7 +230,7 @@ def linearised_theta(c: Compressed, beta: np.ndarray) -> np.ndarray:
 
     work = c.n * w * eta + c.s - c.n * mu
     dev = _Deviance(c, False, c.n * w, work, 0.0, known_scale=True)
-    return minimise_theta(c, dev, read, 1e-4, 30)[0]
+    return minimise_theta(c, dev, read, 1e-2, 12)[0]
 
 
 def refit_ml(fit: Fit) -> Fit:

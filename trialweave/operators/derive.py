@@ -49,10 +49,11 @@ def first_mention(
         )
     )
     both = F.col("both_mentioned")
-    earlier = F.instr(_col(text), _col(left)) < F.instr(_col(text), _col(right))
-    out = out.withColumn(
-        name, if_else(~both, F.lit(UNKNOWN), if_else(earlier, left_label, right_label))
-    )
+    # a column of its own: inside the choice below the positions would be searched twice
+    earlier = F.when(both, F.instr(_col(text), _col(left)) < F.instr(_col(text), _col(right)))
+    out = out.withColumn("_earlier", earlier)
+    choice = if_else(F.col("_earlier"), left_label, right_label)
+    out = out.withColumn(name, if_else(~both, F.lit(UNKNOWN), choice)).drop("_earlier")
     for a in attributes:
         l, r = (attribute_columns or {}).get(a, (f"left_{a}", f"right_{a}"))
         out = out.withColumn(

@@ -3,8 +3,9 @@
 ``percentile`` keeps every distinct value of a group in one buffer.  That is right for the usual
 participant x condition cell and wrong for a group holding a third of a huge log, so groups above
 ``group_limit`` rows take another, equally exact way: values are collapsed to counts, each group
-is cut into slices at approximate quantiles, and only the slices that hold a wanted rank are
-sorted.
+is cut at sketched quantiles a little below and above the wanted ones, all slices are counted, and
+only the slices that hold a wanted rank are sorted. The sketch decides how small those are, not
+what the result is.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .units import ROWS_PER_TASK, null_safe_join, profile_units, unit_join
 
-SLICES = 200
+BRACKET = 5e-4  # half width, in probability, of the slice around a wanted quantile
+ACCURACY = 10_000  # rank error of the sketch: 1 / ACCURACY
 
 
 def group_quantiles(
@@ -41,9 +43,10 @@ def _sliced(df, by, value, probs) -> DataFrame:
     if not by:
         df = df.withColumn("_all", F.lit(1))
     df = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    around = {min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-BRACKET, BRACKET)}
     cuts = df.groupBy(*keys).agg(
         F.count("_v").alias("_total"),
-        F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], 10_000).alias("_cuts"),
+        F.percentile_approx("_v", sorted(around), ACCURACY).alias("_cuts"),
     )
     counts = df.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(
         F.count(F.lit(1)).alias("_n")
