@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_mean
+from ..sources.work import checkpointed
 from .quantiles import group_quantiles
 from .units import null_safe_join
 
@@ -123,9 +124,11 @@ def five_number(df: DataFrame, by: Sequence[str], value: str, group_limit: int |
 def contingency(df: DataFrame, factors: Sequence[str], max_cells: int = 1_000_000) -> DataFrame:
     """Cell counts of all level combinations, zero cells included, missing levels dropped.
 
-    Levels are read from the aggregated cells, so the data are shuffled once as counts.
+    Levels are read from the aggregated cells, which are kept, so the data are read once.
     """
-    present = df.dropna(subset=list(factors)).groupBy(*factors).agg(F.count(F.lit(1)).alias("n"))
+    present = checkpointed(
+        df.dropna(subset=list(factors)).groupBy(*factors).agg(F.count(F.lit(1)).alias("n"))
+    )
     # sketches first: the exact level lists are only gathered when they are known to be short
     estimate = present.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
     cells = math.prod(estimate)

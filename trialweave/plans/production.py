@@ -27,6 +27,7 @@ from ..functions import (
 )
 from ..operators import derive, exclude, order
 from ..operators.units import UnitProfile, lookup_join, profile_units
+from ..sources.work import checkpointed
 
 # Fixed values of the studies: labels, wrappers, categories and thresholds.
 DEMOGRAPHIC_GROUPS = {
@@ -229,7 +230,8 @@ def clean_log(
     """
     unit = ["subject"]
     profile = profile or profile_units(log, unit)
-    trials = prepare(log, stimuli, s, profile)
+    # read by every rule, the time limits and the result: derived once
+    trials = checkpointed(prepare(log, stimuli, s, profile))
     excluded = rules(trials, log, s)
     if ineligible is not None:
         excluded["eligibility"] = ineligible

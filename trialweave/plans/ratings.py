@@ -22,6 +22,7 @@ from ..functions import (
 )
 from ..operators import exclude, order
 from ..operators.units import UnitProfile, lookup_join, profile_units, unit_join
+from ..sources.work import checkpointed
 
 # Catch items, the one that is reversed, question kinds, thresholds.
 CATCH_ITEMS = ["chase", "drive", "teach", "remind", "carry", "pose", "feed", "hire"]
@@ -120,7 +121,7 @@ def clean_ratings(
     """Scored ratings without participants failing catch items, residence or eligibility."""
     unit = ["subject"]
     profile = profile_units(log, unit)
-    rows = rating_rows(log)
+    rows = checkpointed(rating_rows(log))
     wrong = exclude.by_bad_trials(
         score_catch(rows, reversed_item, strict), unit, F.col("catch_correct") == "incorrect",
         max_wrong, reason="catch items",

@@ -42,10 +42,10 @@ from ..functions import (
 from ..operators import bootstrap, derive, exclude, order, quantiles, summarise
 from ..operators.units import (
     BROADCAST_UNITS,
-    attach_group_stats,
     lookup_join,
     natural_left_join,
     profile_units,
+    unit_join,
 )
 from ..sources import pseudonymise, read_log, union_logs, write_csv
 from ..sources.work import scratch_path
@@ -796,19 +796,18 @@ def waterfall(spark, d):
     biased = exclude.by_share_bounds(shares(spark, d), USER, 0.4, 0.6)
     flagged = exclude.flag_units(flagged, biased, USER, "f3", profile)
     flagged = flagged.withColumn("f2", F.col("value") < 5)
-    # limits come from the trials that survive the earlier rules
-    alive = F.when(~F.col("f1") & ~F.col("f2") & ~F.col("f3"), F.col("value"))
-    limited = attach_group_stats(
-        flagged.withColumn("_alive", alive), USER, profile,
-        m=F.avg("_alive"), sd=F.stddev_samp("_alive"),
+    # limits come from the valid trials; participant rules take or leave whole participants
+    limits = e.filter(F.col("value") >= 5).groupBy(*USER).agg(
+        F.avg("value").alias("m"), F.stddev_samp("value").alias("sd")
     )
+    limited = unit_join(flagged, limits, USER, "left", profile)
     return exclude.waterfall(
         limited,
         [
             ("bad trials", F.col("f1")),
             ("invalid", F.col("f2")),
             ("orientation", F.col("f3")),
-            ("slow", F.col("_alive") > F.col("m") + 3 * F.col("sd")),
+            ("slow", F.col("value") > F.col("m") + 3 * F.col("sd")),
         ],
     )
 
@@ -1512,6 +1511,89 @@ def memory_trials(spark, d):
     return union_logs(parts)
 
 
+@query(
+    "participant_answers",
+    """
+    SELECT user_id, event_id, json_extract_string(props, '$.k') AS age, NULL::VARCHAR AS gender
+    FROM events WHERE event_type = 'signup'
+    """,
+)
+def participant_answers(spark, d):
+    """Questionnaire rows with their answers as columns; a question never asked is missing."""
+    return exclude.participant_answers(
+        table(spark, d, "events"), USER, {"k": "age", "Q5": "gender"},
+        F.col("event_type") == "signup", "props", ["event_id"],
+    )
+
+
+@query(
+    "orientation_shares",
+    f"""
+    WITH {SHARES_SQL}
+    SELECT user_id, round(l, 6) AS left_share, round(r, 6) AS right_share,
+           round(bias, 6) AS orientation_bias FROM b
+    """,
+)
+def orientation_shares(spark, d):
+    return rounded(shares(spark, d), "left_share", "right_share", "orientation_bias")
+
+
+@query(
+    "memory_features",
+    """
+    WITH g AS (SELECT o_totalprice AS rt,
+                      CASE o_orderpriority WHEN '1-URGENT' THEN 'WW1.jpg' WHEN '2-HIGH' THEN 'WM2.jpg'
+                           WHEN '3-MEDIUM' THEN 'BW1.jpg' ELSE 'BM1.jpg' END AS stimulus,
+                      CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'woman' ELSE 'man' END
+                        AS pg, CASE WHEN c_acctbal < 5000 THEN 'white' ELSE 'black' END AS pr,
+                      CASE o_orderstatus WHEN 'F' THEN 'TRUE' WHEN 'O' THEN 'FALSE' END AS fg,
+                      o_orderkey % 2 AS pressed, o_custkey % 2 AS correct
+               FROM orders JOIN customer ON o_custkey = c_custkey),
+    h AS (SELECT *, CASE WHEN regexp_matches(stimulus, 'W[1-2].jpg') THEN 'woman' ELSE 'man' END AS g,
+                 CASE WHEN regexp_matches(stimulus, 'W[MW][1-2].jpg') THEN 'white' ELSE 'black' END
+                   AS r FROM g)
+    SELECT CASE WHEN pg = g THEN 'Gender Match' ELSE 'Gender No-Match' END || ' / ' ||
+           CASE WHEN pr = r THEN 'Race Match' ELSE 'Race No-Match' END AS "LikeMeFeature",
+           1 - (pg = g)::INT - (pr = r)::INT AS "LikeMeFeatureNumeric",
+           sum((fg = 'TRUE')::INT)::BIGINT AS first_guesses,
+           sum((pressed = correct)::INT)::BIGINT AS correct,
+           sum((pg = g AND pr = r)::INT)::BIGINT AS overall, count(*) AS n,
+           round(avg(rt), 4) AS mean_rt
+    FROM h GROUP BY 1, 2
+    """,
+)
+def memory_features(spark, d):
+    """Actor attributes from picture names, match flags, class and score; orders as the game."""
+    people = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("o_custkey"),
+        if_else(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "woman", "man").alias(
+            "ppt_gender"
+        ),
+        if_else(F.col("c_acctbal") < 5000, "white", "black").alias("ppt_race"),
+    )
+    pictures = {"1-URGENT": "WW1.jpg", "2-HIGH": "WM2.jpg", "3-MEDIUM": "BW1.jpg"}
+    game = table(spark, d, "orders").select(
+        "o_custkey",
+        F.col("o_totalprice").alias("rt"),
+        map_values("o_orderpriority", pictures, "BM1.jpg").alias("stimulus"),
+        map_values("o_orderstatus", {"F": "TRUE", "O": "FALSE"}).alias("first_guess"),
+        (F.col("o_orderkey") % 2).alias("button_pressed"),
+        (F.col("o_custkey") % 2).alias("correct"),
+    )
+    game = lookup_join(game, people, ["o_custkey"], "inner")
+    return (
+        derive.memory_match_features(game)
+        .groupBy("LikeMeFeature", "LikeMeFeatureNumeric")
+        .agg(
+            F.sum("first_guess_num").alias("first_guesses"),
+            F.sum("correct_response").alias("correct"),
+            F.sum("OverallLikeMe").alias("overall"),
+            F.count(F.lit(1)).alias("n"),
+            F.round(F.avg("rt"), 4).alias("mean_rt"),
+        )
+    )
+
+
 # --- resampling -----------------------------------------------------------------------------------
 
 BOOT_SQL = """

@@ -12,7 +12,8 @@ def work_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = named or sc.getConf().get("spark.checkpoint.dir")
         if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
