@@ -22,15 +22,16 @@ from .units import BROADCAST_UNITS
 _GROUP = "_group"
 
 
-def _group_text(by: Sequence[str]) -> Column:
-    if not by:
+def _key_text(columns: Sequence[str]) -> Column:
+    """Columns as one text; separators inside values are doubled and missing values marked."""
+    if not columns:
         return F.lit("")
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in by])
+    parts = [F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("||")) for c in columns]
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("|NA")) for p in parts])
 
 
 def _numbered(units: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in unit])
-    keyed = units.select(_GROUP, key.alias("_unit"), F.col(value).cast("double").alias("_v"))
+    keyed = units.select(_GROUP, _key_text(unit).alias("_unit"), F.col(value).cast("double").alias("_v"))
     keyed = keyed.withColumn("_h", F.md5("_unit")).withColumn("_part", F.substring("_h", 1, 3))
     sizes = keyed.groupBy(_GROUP, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(_GROUP).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +56,7 @@ def replicate_means(
     ``units`` has one row per (group, unit); missing values can be drawn and are skipped in the
     mean.
     """
-    grouped = units.withColumn(_GROUP, _group_text(by))
+    grouped = units.withColumn(_GROUP, _key_text(by))
     numbered = _numbered(grouped, unit, value)
     sizes = grouped.groupBy(*by, _GROUP).agg(F.count(F.lit(1)).alias("n"))
     total, groups = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()

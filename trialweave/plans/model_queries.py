@@ -23,6 +23,7 @@ from ..models import (
     marginal_means,
     pairwise,
 )
+from ..operators.units import lookup_join
 from .table_queries import query, sales, table, with_k
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -130,6 +131,52 @@ def lmm_crossed(spark, d):
     return out.select("grouping", F.round("covariance", 3).alias("covariance"))
 
 
+@query(
+    "lmm_random_slope",
+    """
+    WITH c AS (SELECT c_nationkey AS u, o_orderpriority AS r,
+                      CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS x,
+                      avg(o_totalprice) / 1000 AS y0
+               FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+    y AS (SELECT u, x, y0 + 20 * (u % 5) + 10 * (u % 3 - 1) * x AS y FROM c),
+    m AS (SELECT u, x, avg(y) AS y, count(*) AS n, sum(y * y) - count(*) * avg(y) ^ 2 AS ss
+          FROM y GROUP BY 1, 2),
+    s2 AS (SELECT sum(ss) / sum(n - 1) AS v, 2 * max(n) AS per_unit FROM m),
+    a AS (SELECT u, avg(y) AS a, avg(x * y) AS d FROM m GROUP BY 1)
+    SELECT 'c_nationkey' AS grouping, '(Intercept)' AS term, '(Intercept)' AS with_term,
+           round(var_samp(a) - (SELECT v / per_unit FROM s2), 3) AS covariance FROM a
+    UNION ALL SELECT 'c_nationkey', 'status[other]', '(Intercept)', round(covar_samp(a, d), 3) FROM a
+    UNION ALL SELECT 'c_nationkey', 'status[other]', 'status[other]',
+                     round(var_samp(d) - (SELECT v / per_unit FROM s2), 3) FROM a
+    UNION ALL SELECT 'Residual', NULL, NULL, round(v, 3) FROM s2
+    """,
+)
+def lmm_random_slope(spark, d):
+    """Correlated random intercept and slope of status by nation, on order means with known offsets.
+
+    In the complete nation x status x priority table the covariance of the unit means and unit
+    differences gives the estimates.
+    """
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    orders = table(spark, d, "orders").select(
+        "o_custkey", "o_orderpriority", "o_totalprice",
+        if_else(F.col("o_orderstatus") == "F", "F", "other").alias("status"),
+    )
+    cells = lookup_join(orders, nation, ["o_custkey"], "inner")
+    cells = cells.groupBy("c_nationkey", "o_orderpriority", "status").agg(
+        (F.avg("o_totalprice") / 1000).alias("y0")
+    )
+    n = F.col("c_nationkey")
+    tilt = 10 * (n % 3 - 1) * F.when(F.col("status") == "F", -1).otherwise(1)
+    cells = cells.withColumn("y", F.col("y0") + 20 * (n % 5) + tilt)
+    slope = (("status",),)
+    model = Model(
+        "y", (Factor("status", ("F", "other"), "sum2"),), slope, random=(Random("c_nationkey", slope),)
+    )
+    out = fit_lmm(cells, model).variance_components(spark)
+    return out.select("grouping", "term", "with_term", F.round("covariance", 3).alias("covariance"))
+
+
 @query("lmm_no_intercept")
 def lmm_no_intercept(spark, d):
     """Crossed random intercepts without a fixed part, against the model with an intercept."""
@@ -350,7 +397,8 @@ def glmm_family(spark, d):
     from .analysis import fit_family
 
     model = Model("OverallLikeMe", (SYNTAX,), (("syntax",),), random=(Random("subject"),))
-    subsets = {s: F.col("event") == s for s in ("BUILDING", "MACHINERY")}
+    segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    subsets = {s: F.col("event") == s for s in segments}
     return fit_family(spark, like_me_rows(spark, d), model, subsets, keep=["event"])
 
 
