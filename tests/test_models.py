@@ -43,12 +43,14 @@ def simulate(seed, units, items, binary):
 
 
 def dense_lmm(pdf, theta, reml):
+    theta = np.append(theta, [0.0] * (6 - len(theta)))
     s = np.where(pdf.x == "a", -1.0, 1.0)
     x = np.c_[np.ones(len(pdf)), s]
     y = pdf.y.to_numpy()
     lam = np.array([[theta[0], 0], [theta[1], theta[2]]])
     v = np.eye(len(pdf)) + (pdf.u.values[:, None] == pdf.u.values) * (x @ lam @ lam.T @ x.T)
-    v += (pdf.b.values[:, None] == pdf.b.values) * theta[3] ** 2
+    lam = np.array([[theta[3], 0], [theta[4], theta[5]]])
+    v += (pdf.b.values[:, None] == pdf.b.values) * (x @ lam @ lam.T @ x.T)
     vi = np.linalg.inv(v)
     a = x.T @ vi @ x
     beta = np.linalg.solve(a, x.T @ vi @ y)
@@ -103,6 +105,15 @@ def test_lmm_is_the_minimum_of_the_dense_deviance(linear, local_values):
             assert abs(dense_lmm(pdf, f.theta + 1e-4 * e, reml)[0] - dense_lmm(pdf, f.theta - 1e-4 * e, reml)[0]) < 1e-6
 
 
+def test_slopes_of_both_groupings(linear):
+    pdf, df = linear
+    f = fit_lmm(df, Model("y", (X,), SLOPE, random=(Random("u", SLOPE), Random("b", SLOPE))))
+    assert f.deviance == pytest.approx(dense_lmm(pdf, f.theta, True)[0], abs=1e-7)
+    for e in np.eye(6):
+        up, down = (dense_lmm(pdf, f.theta + h * e, True)[0] for h in (1e-4, -1e-4))
+        assert abs(up - down) < 1e-5
+
+
 @pytest.mark.parametrize("local_values", [0, 20_000])
 def test_glmm_is_the_minimum_of_the_dense_laplace_deviance(logistic, local_values):
     pdf, df = logistic
@@ -198,3 +209,18 @@ def test_refuses_what_does_not_fit_the_design(spark):
         fit_lmm(df, Model("y", (Numeric("x"),), (("x",),), random=(Random("u"),)))
     with pytest.raises(ValueError):
         fit_lmm(df.limit(3000), Model("y", random=(Random("u"), Random("x"))))
+
+
+def test_says_what_is_wrong_with_the_levels(spark, linear):
+    _, df = linear
+    with pytest.raises(ValueError, match="outside the levels"):
+        fit_lmm(df, Model("y", (Factor("x", ("a", "c")),), SLOPE, random=(Random("u"),)))
+    with pytest.raises(ValueError, match="rank deficient"):
+        fit_lmm(df, Model("y", (Factor("x", ("a", "b", "c")),), SLOPE, random=(Random("u"),)))
+
+
+def test_separated_data_are_flagged_not_raised(spark):
+    rows = [(u, x, int(x == "b")) for u in range(10) for x in "ab" for _ in range(3)]
+    df = spark.createDataFrame(rows, "u int, x string, y int")
+    f = fit_glmm(df, Model("y", (X,), SLOPE, random=(Random("u"),)))
+    assert f.deviance < 1e-3 and f.coefficients(spark).count() == 2

@@ -219,3 +219,21 @@ def test_sinks(spark, tmp_path):
     assert df.select(drop_extension(F.lit("a1.gif"))).first()[0] == "a1"
     plain = read_logs(spark, [(str(tmp_path / "numbered"), ["_row", "k", "t"], {"condition": "c"})], {"_row": "long"})
     assert dict(plain.dtypes)["_row"] == "bigint" and plain.first().id.startswith("file:")
+
+
+def test_reads_what_survey_tools_write(spark, tmp_path):
+    """Byte-order mark, padded cells, doubled quotes in JSON, empty cells, differing headers."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "1.csv").write_bytes(
+        b'\xef\xbb\xbfverb,list,responses\nkick1,"Female ","{""Q0"":""27"",""Q1"":null}"\n Black,NA,x\n'
+    )
+    (tmp_path / "a" / "skip.txt").write_text("verb,list,responses\nz,z,z\n")
+    (tmp_path / "b" / "2.csv").write_text('"list","verb"\n"1A","hug2"\n')
+    log = read_logs(spark, [(str(tmp_path / "a" / "*.csv"), ["verb", "list", "responses"]),
+                            (str(tmp_path / "b"), ["list", "verb"], {"condition": "transitive"})])
+    rows = {r.verb: r for r in log.collect()}
+    assert set(rows) == {"kick1", "Black", "hug2"}
+    assert rows["kick1"].list == "Female" and rows["kick1"].responses == '{"Q0":"27","Q1":null}'
+    assert rows["Black"].list is None and rows["hug2"].condition == "transitive"
+    assert rows["hug2"].responses is None and rows["hug2"].id.endswith("/b/2.csv")

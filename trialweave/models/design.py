@@ -23,6 +23,9 @@ class Factor:
 
     def codes(self, values: Sequence) -> np.ndarray:
         rows = {level: i for i, level in enumerate(self.levels)}
+        unknown = sorted({str(v) for v in values if v not in rows})
+        if unknown:
+            raise ValueError(f"{self.name}: values outside the levels: {', '.join(unknown)}")
         return CODINGS[self.coding](len(self.levels))[[rows[v] for v in values]]
 
     @property

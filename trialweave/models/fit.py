@@ -30,6 +30,10 @@ def newton_direction(grad: np.ndarray, hess: np.ndarray, limit: float = 2.0) ->
     return step * min(1.0, limit / max(limit, float(np.max(np.abs(step)))))
 
 
+def inverse_logit(eta: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * eta))
+
+
 def normal_tail(z: float) -> float:
     """Two-sided p of a standard normal."""
     return math.erfc(abs(z) / math.sqrt(2.0))
@@ -78,7 +82,7 @@ class Fit:
         z = normal_quantile(0.5 + level / 2.0)
         rows = []
         for name, b, v in zip(self.model.fixed_names(), self.beta, np.diag(self.cov)):
-            se = math.sqrt(v)
+            se = math.sqrt(v) if v > 0 else math.nan
             rows.append(
                 (name, float(b), se, float(b / se), normal_tail(b / se), float(b - z * se),
                  float(b + z * se), math.exp(b) if self.family == "binomial" else None)

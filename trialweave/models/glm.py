@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.work import checkpointed
 from .compress import cells_of
 from .design import Model
-from .fit import Fit
+from .fit import Fit, inverse_logit
 
 
 def fit_glm(
@@ -45,7 +45,7 @@ def fit_glm(
     if model.intercept:
         beta = np.append(found.intercept, beta)
     x, n = _design_totals(cells, model)
-    mu = 1.0 / (1.0 + np.exp(-x @ beta))
+    mu = inverse_logit(x @ beta)
     # all entries of the covariance are needed for marginal means, Spark reports the diagonal
     cov = np.linalg.inv(x.T @ ((n * mu * (1.0 - mu))[:, None] * x))
     return Fit(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from .compress import LOCAL_VALUES, Compressed, compress, padded, sum_over_units
 from .design import Model
-from .fit import Fit, lower_triangle, newton_direction, theta_start
+from .fit import Fit, inverse_logit, lower_triangle, newton_direction, theta_start
 from .lmm import linearised_theta
 
 
@@ -38,7 +38,7 @@ def _unit_modes(c: Compressed, etas: list[np.ndarray], lambdas: list[np.ndarray]
 
             def at(u):
                 eta = fixed + (z @ u)[:, :, 0]
-                mu = 1.0 / (1.0 + np.exp(-eta))
+                mu = inverse_logit(eta)
                 w = n * mu * (1.0 - mu)
                 return eta, mu, w, zt @ (w[:, :, None] * z) + np.eye(q)
 
@@ -146,13 +146,13 @@ def fixed_start(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
     """Fixed-effects logistic fit on the design-point totals: estimates and covariance."""
     beta = np.zeros(x.shape[1])
     for _ in range(50):
-        mu = 1.0 / (1.0 + np.exp(-x @ beta))
+        mu = inverse_logit(x @ beta)
         info = x.T @ ((n * mu * (1.0 - mu))[:, None] * x)
-        step = np.linalg.solve(info, x.T @ (s - n * mu))
+        step = np.linalg.lstsq(info, x.T @ (s - n * mu), rcond=None)[0]
         beta = beta + np.clip(step, -3.0, 3.0)
         if np.max(np.abs(step), initial=0.0) < 1e-10:
             break
-    return beta, np.linalg.inv(info)
+    return beta, np.linalg.pinv(info)
 
 
 def _away_from_zero(theta: np.ndarray, *sizes: int) -> np.ndarray:
@@ -182,7 +182,8 @@ def fit_glmm(
     theta = linearised_theta(c, beta)
     theta = _away_from_zero(theta, c.za.shape[1], c.qb)
     point = np.concatenate([theta, beta])
-    width = np.concatenate([np.full(dev.k, 0.01), 0.2 * np.sqrt(np.diag(cov))])
+    spread = np.clip(0.2 * np.sqrt(np.diag(cov)), 1e-4, 0.5)
+    width = np.concatenate([np.full(dev.k, 0.01), spread])
     k = len(point)
 
     def rescaled(hess):
@@ -236,7 +237,7 @@ def fit_glmm(
     if curvature[0] > 1e-6 * curvature[-1]:
         cov = (2.0 * np.linalg.inv(hess))[dev.k :, dev.k :]
     else:  # at the boundary the Hessian is of no use
-        cov = np.linalg.inv(dev.information(point))
+        cov = np.linalg.pinv(dev.information(point))
     lam = [lower_triangle(theta_a, c.za.shape[1])]
     if c.qb:
         lam.append(lower_triangle(theta_b, c.qb))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .design import Model
-from .fit import Fit, lower_triangle, newton_direction, theta_start
+from .fit import Fit, inverse_logit, lower_triangle, newton_direction, theta_start
 from .compress import LOCAL_VALUES, Compressed, compress, padded, sum_over_units
 
 _H = 1e-20  # complex step
@@ -217,8 +217,8 @@ def linearised_theta(c: Compressed, beta: np.ndarray) -> np.ndarray:
     points, q = c.za.shape
     za = np.vstack([c.za, np.zeros((1, q))])
     eta = c.x @ beta
-    mu = 1.0 / (1.0 + np.exp(-eta))
-    w = mu * (1.0 - mu)
+    mu = inverse_logit(eta)
+    w = np.maximum(mu * (1.0 - mu), 1e-6)  # separated points would leave nothing to solve
     pad = [np.append(v, 0.0) for v in (eta, mu, w)]
 
     def read(pdf):

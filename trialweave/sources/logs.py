@@ -23,6 +23,15 @@ CSV_OPTIONS = {
 }
 
 
+MISSING = ("", "NA")  # cell texts that stand for a missing value
+
+
+def _cell(name: str) -> Column:
+    """A cell without blanks around it, quoted or not; missing when it says so."""
+    text = F.trim(F.col(name))
+    return F.when(~text.isin(*MISSING), text).alias(name)
+
+
 def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -44,10 +53,10 @@ def read_log(
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     df = reader.csv(path if isinstance(path, str) else list(path))
+    provenance = [F.col("_metadata.file_path").alias(id_column)] if id_column else []
+    df = df.select(*[_cell(c) for c in columns], *provenance)
     for name, to in (types or {}).items():
         df = df.withColumn(name, F.col(name).try_cast(to))
-    if id_column:
-        df = df.withColumn(id_column, F.col("_metadata.file_path"))
     return df
 
 
