@@ -103,7 +103,7 @@ def compress(
     points = {v: totals[v].tolist() for v in model.variables}
     rows = len(totals)
     x = _rows(model.matrix(points), rows)
-    if np.linalg.matrix_rank(x) < x.shape[1]:
+    if x.shape[1] and np.linalg.matrix_rank(x) < x.shape[1]:
         raise ValueError("the fixed part is rank deficient: a level or combination has no rows")
     za = _rows(model.matrix(points, unit.terms, unit.intercept), rows)
     zb, qb, items = np.zeros((rows, 0)), 0, []
