@@ -106,8 +106,8 @@ def _slot(ids: np.ndarray) -> np.ndarray:
 def bitmap(ids: DataFrame, column: str):
     """Broadcast bit array (4 MB whatever the number of ids) of a column of longs.
 
-    Tasks send the slots that their rows set; equal slots merge before the shuffle, and at most
-    ``BITMAP_BITS / 64`` words of 64 bits reach the driver.
+    Every id is turned into its slot once; at most ``BITMAP_BITS / 64`` words of 64 bits reach the
+    driver.
     """
     spark = ids.sparkSession
 
@@ -120,6 +120,7 @@ def bitmap(ids: DataFrame, column: str):
 
     words = (
         ids.select(column)
+        .distinct()
         .mapInArrow(slots, "w int, b int")
         .groupBy("w")
         .agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
