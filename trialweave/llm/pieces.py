@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import mix, powers, ranges, slices, texts_of
 
@@ -367,7 +368,7 @@ def encode(documents: DataFrame, vocabulary: str, text: str = "text", ids: str =
     """All columns of documents and an array of piece ids, in place of the text."""
     shared = documents.sparkSession.sparkContext.broadcast(load(vocabulary))
     rest = [c for c in documents.columns if c != text and c != ids]
-    out = documents.select(*rest).schema.add(ids, "array<int>")
+    out = documents.select(*rest).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def rows(batches):
         encoder = _encoder(vocabulary, shared)
@@ -384,7 +385,7 @@ def decode(encoded: DataFrame, vocabulary: str, text: str = "text", ids: str = "
     """The inverse of ``encode``; a null list is a null text."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(vocabulary))
     rest = [c for c in encoded.columns if c != text and c != ids]
-    out = encoded.select(*rest).schema.add(text, "string")
+    out = encoded.select(*rest).schema.add(text, T.StringType())
 
     def rows(batches):
         for batch in batches:
