@@ -180,3 +180,21 @@ def test_corrections_and_mismatches(spark):
 def test_copies_keep_first(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "i int, t string")
     assert sorted(values(exclude.first_of_copies(df, "t", "i"), "i", "n_copies")) == [(1, 2), (3, 1), (4, 1)]
+
+
+def test_accuracy_carries_missing_values(spark):
+    from trialweave.operators.summarise import accuracy_rt
+
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", None, 4.0), ("b", 1, 3.0)], "g string, f int, t double")
+    assert values(accuracy_rt(df, ["g"], "f", "t"), "g", "mean_flag") == [("a", None), ("b", 1.0)]
+    assert values(accuracy_rt(df, ["g"], "f", "t", na_rm=True), "g", "mean_flag") == [("a", 1.0), ("b", 1.0)]
+
+
+def test_first_mention_of_whole_words(spark):
+    from trialweave.operators.derive import first_mention
+
+    df = spark.createDataFrame(
+        [("superman and anna, then man.", "man", "anna"), ("a man, and anna", "man", "anna"), ("superman, anna", "man", "anna"),
+         ("m.n anna man", "m.n", "anna")], "text string, l string, r string")
+    got = [r.first_person for r in first_mention(df, "text", "l", "r", word=True).collect()]
+    assert got == ["right", "left", "cannot auto compute", "left"]

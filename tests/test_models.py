@@ -224,3 +224,41 @@ def test_separated_data_are_flagged_not_raised(spark):
     df = spark.createDataFrame(rows, "u int, x string, y int")
     f = fit_glmm(df, Model("y", (X,), SLOPE, random=(Random("u"),)))
     assert f.deviance < 1e-3 and f.coefficients(spark).count() == 2
+
+
+def test_fits_of_different_rows_are_not_compared(spark):
+    import pytest
+
+    from trialweave.models import Model, Numeric, Random, fit_lmm
+    from trialweave.models.compare import compare_fits, complete_rows
+
+    rng = np.random.default_rng(5)
+    rows = [(u, float(rng.normal()) if k % 2 else None, float(rng.normal() + u % 3)) for u in range(30) for k in range(8)]
+    df = spark.createDataFrame(rows, "u long, x double, y double")
+    models = {"null": Model("y", random=(Random("u"),)), "x": Model("y", (Numeric("x"),), (("x",),), random=(Random("u"),))}
+    with pytest.raises(ValueError):
+        compare_fits(spark, {n: fit_lmm(df, m) for n, m in models.items()})
+    common = complete_rows(df, list(models.values()))
+    assert compare_fits(spark, {n: fit_lmm(common, m) for n, m in models.items()}).count() == 2
+
+
+def test_glm_reports_unfinished_fits(spark):
+    from trialweave.models import Factor, Model, fit_glm
+
+    rows = [(g, int(k < n)) for g, n in (("a", 1), ("b", 9)) for k in range(10)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    model = Model("y", (Factor("g", ("a", "b")),), (("g",),))
+    assert fit_glm(df, model).converged and not fit_glm(df, model, max_iter=1).converged
+
+
+def test_grammar_model_has_three_levels(spark):
+    from trialweave.models import fit_lmm
+    from trialweave.plans.analysis import catalogue
+
+    rng = np.random.default_rng(6)
+    rows = [
+        (u, v, s, float(rng.normal() + u % 3 + v % 2 + (s == "passive")))
+        for u in range(12) for v in range(4) for s in ("conjoined", "passive", "transitive")
+    ]
+    df = spark.createDataFrame(rows, "subject long, verb long, syntax string, OverallLikeMe double")
+    assert len(fit_lmm(df, catalogue()["grammar"][1]).beta) == 3

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .design import Model
 from .fit import Fit
 from .lmm import refit_ml
 
@@ -41,11 +42,21 @@ def chi2_tail(x: float, df: float) -> float:
     return front * h
 
 
+def complete_rows(df: DataFrame, models: Sequence[Model]) -> DataFrame:
+    """Rows in which nothing that any of the models uses is missing."""
+    used = {c for m in models for c in (m.response, *m.variables, *(r.group for r in m.random))}
+    return df.dropna(subset=sorted(used))
+
+
 def compare_fits(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
     """Fits in order of size, each tested against the one before. REML fits are refitted by ML.
 
     Degrees of freedom are the difference in the number of parameters, random part included.
+    Fits of different rows or families can't be compared: ``complete_rows`` gives models whose
+    predictors are missing in different places one common table.
     """
+    if len({(f.rows, f.family, f.model.response) for f in fits.values()}) > 1:
+        raise ValueError("the fits differ in rows, family or response")
     ml: Sequence[tuple[str, Fit]] = [(name, refit_ml(f)) for name, f in fits.items()]
     ml = sorted(ml, key=lambda nf: nf[1].parameters)
     rows, before = [], None

@@ -44,23 +44,30 @@ def fit_glm(
     beta = np.array([*found.coefficients])
     if model.intercept:
         beta = np.append(found.intercept, beta)
-    x, n = _design_totals(cells, model)
-    mu = inverse_logit(x @ beta)
+    information, rows = _information(cells, model, beta)
     # all entries of the covariance are needed for marginal means, Spark reports the diagonal
-    cov = np.linalg.inv(x.T @ ((n * mu * (1.0 - mu))[:, None] * x))
+    cov = np.linalg.inv(information)
     return Fit(
         model=model, family="binomial", beta=beta, cov=cov, covariances=[], sigma2=1.0,
-        deviance=float(found.summary.deviance), reml=False, rows=int(n.sum()), units=0,
-        theta=np.zeros(0), converged=True,
+        deviance=float(found.summary.deviance), reml=False, rows=rows, units=0,
+        theta=np.zeros(0), converged=int(found.summary.numIterations) < max_iter,
     )
 
 
-def _design_totals(cells: DataFrame, model: Model, limit: int = 20_000):
-    """Distinct predictor rows with their number of trials (size-checked)."""
-    totals = (
-        cells.groupBy(*model.variables).agg(F.sum("_n").alias("n")).limit(limit + 1).toPandas()
-    )
-    if len(totals) > limit:
-        raise ValueError(f"more than {limit} distinct predictor combinations")
-    x = model.matrix({v: totals[v].tolist() for v in model.variables})
-    return x, totals["n"].to_numpy(float)
+def _information(cells: DataFrame, model: Model, beta: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sum of n mu (1 - mu) x x' over all predictor rows, and the number of trials, in one job."""
+    # in the order of beta: a constant, if any, stands first
+    x = [e.cast("double") for _, e in model.column_expressions()]
+    x = [F.lit(1.0), *x] if model.intercept else x
+    p = len(x)
+    named = cells.select("_n", *[e.alias(f"_x{i}") for i, e in enumerate(x)])
+    eta = sum((F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(beta)), F.lit(0.0))
+    mu = 1.0 / (1.0 + F.exp(-eta))
+    weighted = named.withColumn("_w", F.col("_n") * mu * (1.0 - mu))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_s{i}_{j}") for i, j in pairs]
+    found = weighted.agg(F.sum("_n").alias("n"), *sums).first()
+    out = np.zeros((p, p))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = found[f"_s{i}_{j}"]
+    return out, int(found.n)

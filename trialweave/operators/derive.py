@@ -14,12 +14,22 @@ from ..functions.text import tag_by_pattern
 UNKNOWN = "cannot auto compute"
 
 
+def _whole_word(part: Column) -> Column:
+    """Pattern for a quoted name that neither follows nor precedes a letter, digit or underscore."""
+    quoted = F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("(?U)(?<!\\w)\\Q"), quoted, F.lit("\\E(?!\\w)"))
+
+
 def contains_text(text, part, word: bool = False) -> Column:
     """Substring test between two columns; ``word=True`` asks for whole words."""
     text, part = _col(text), _col(part)
-    if not word:
-        return F.contains(text, part)
-    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), part, F.lit(" ")))
+    return F.rlike(text, _whole_word(part)) if word else F.contains(text, part)
+
+
+def place_of_text(text, part, word: bool = False) -> Column:
+    """Place of the first occurrence, from one; ``word=True`` asks for whole words."""
+    text, part = _col(text), _col(part)
+    return F.regexp_instr(text, _whole_word(part)) if word else F.instr(text, part)
 
 
 def first_mention(
@@ -50,7 +60,7 @@ def first_mention(
     )
     both = F.col("both_mentioned")
     # a column of its own: inside the choice below the positions would be searched twice
-    earlier = F.when(both, F.instr(_col(text), _col(left)) < F.instr(_col(text), _col(right)))
+    earlier = F.when(both, place_of_text(text, left, word) < place_of_text(text, right, word))
     out = out.withColumn("_earlier", earlier)
     choice = if_else(F.col("_earlier"), left_label, right_label)
     out = out.withColumn(name, if_else(~both, F.lit(UNKNOWN), choice)).drop("_earlier")

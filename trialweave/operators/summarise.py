@@ -197,12 +197,21 @@ def within_subject_se(
 
 
 def accuracy_rt(
-    df: DataFrame, by: Sequence[str], flag: str, value: str, keep: Column | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    flag: str,
+    value: str,
+    keep: Column | None = None,
+    na_rm: bool = False,
 ) -> DataFrame:
-    """Mean of a 0/1 flag and mean time per group, on the rows that ``keep`` selects."""
+    """Mean of a 0/1 flag and mean time per group, on the rows that ``keep`` selects.
+
+    A missing flag or time makes its group's mean missing unless ``na_rm`` leaves it out.
+    """
     rows = df if keep is None else df.filter(keep)
+    mean = F.avg if na_rm else strict_mean
     return rows.groupBy(*by).agg(
-        F.avg(flag).alias("mean_flag"), F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n")
+        mean(flag).alias("mean_flag"), mean(value).alias("mean_value"), F.count(F.lit(1)).alias("n")
     )
 
 

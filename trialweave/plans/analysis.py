@@ -104,6 +104,8 @@ def catalogue() -> dict[str, tuple[str, Model]]:
     """Every model formula in use: name -> (family, model)."""
     syntax = Factor("syntax", ("conjoined", "transitive"), "sum2")
     voice = Factor("syntax", ("active", "passive"), "sum2")
+    # active sentences count as transitive here
+    grammar = Factor("syntax", ("conjoined", "passive", "transitive"))
     condition = Factor("condition", ("chinese", "english"), "sum2")
     rating_condition = Factor("condition", ("conjoined", "passive", "transitive"))
     part = Factor("test_part", ("rating_causation", "rating_volition"), "sum2")
@@ -155,7 +157,7 @@ def catalogue() -> dict[str, tuple[str, Model]]:
             Model(y, (trial_type,), slopes("TrialType"),
                   random=(Random("subject", slopes("TrialType")), Random("event", slopes("TrialType")))),
         ),
-        "grammar": ("gaussian", Model(y, (syntax,), s, random=(subject, verb))),
+        "grammar": ("gaussian", Model(y, (grammar,), s, random=(subject, verb))),
         "grammar_null": ("gaussian", Model(y, random=(subject, verb))),
         "gender_race_event": (
             "binomial",
