@@ -41,16 +41,13 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _split_places(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc, text, places as bytes) of entries sorted by (doc, text)."""
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]) if len(doc) else np.zeros(0, int)
-    ends = np.r_[cuts[1:], len(doc)].astype(int)
-    blobs = [np.sort(place[s:e]).astype(np.int32).tobytes() for s, e in zip(cuts, ends)]
+    """A row per place: one per document and task would grow as documents times tasks."""
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[cuts]), pa.array(text[cuts]), pa.array(blobs, pa.binary())], ["doc", "text_hash", "places"]
+        [pa.array(doc), pa.array(text), pa.array(place.astype(np.int32))], ["doc", "text_hash", "place"]
     )
 
 
-PLACES = "doc long, text_hash long, places binary"
+PLACES = "doc long, text_hash long, place int"
 
 
 def _anchors(documents: DataFrame, buckets: int) -> DataFrame:
@@ -100,7 +97,7 @@ def _eight(items: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(documents: DataFrame) -> DataFrame:
-    """(doc, places): places of anchors that occur more than once, several rows per document."""
+    """(doc, place): places of anchors that occur more than once."""
     n = partitions(documents)
     buckets = 4 * n
 
@@ -148,7 +145,7 @@ def _with_places(documents: DataFrame, places: DataFrame, bits, by_text: bool) -
         for b in batches:
             yield b.filter(pa.array(in_bitmap(bits.value, longs_of(b.column("doc_id")))))
 
-    per_doc = places.groupBy("doc", "text_hash").agg(F.collect_list("places").alias("places"))
+    per_doc = places.groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
     asked = documents.mapInArrow(may_have, documents.schema)
     on = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.col("doc")
     if by_text:
@@ -157,7 +154,7 @@ def _with_places(documents: DataFrame, places: DataFrame, bits, by_text: bool) -
 
 
 def repeated_windows(documents: DataFrame, anchors: DataFrame, bits) -> DataFrame:
-    """(doc, text_hash, places): starts of windows that also start at a smaller (doc, place)."""
+    """(doc, text_hash, place): starts of windows that also start at a smaller (doc, place)."""
     n = partitions(documents)
 
     def send(batches):
@@ -171,7 +168,7 @@ def repeated_windows(documents: DataFrame, anchors: DataFrame, bits) -> DataFram
                 near = np.zeros(int(count.sum()) + 1, np.int64)
                 for t, lists in enumerate(part.column("places").to_pylist()):
                     if count[t]:
-                        at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists]))
+                        at = np.unique(np.array(lists, np.int64))
                         low = np.minimum(np.maximum(at - (PERIOD - 1), 0), count[t])
                         high = np.minimum(at + 1, count[t])
                         np.add.at(near, first[t] + low, 1)
@@ -242,12 +239,11 @@ def kept_words(texts: Texts, words: Words, t: int, removed: np.ndarray) -> bytes
     return out.tobytes()
 
 
-def _removed(count: int, lists) -> np.ndarray:
+def _removed(count: int, places: list[int] | None) -> np.ndarray:
     change = np.zeros(count + 1, np.int64)
-    for x in lists or []:
-        at = np.frombuffer(x, np.int32)
-        np.add.at(change, np.minimum(at, count), 1)
-        np.add.at(change, np.minimum(at + WINDOW, count), -1)
+    at = np.array(places or [], np.int64)
+    np.add.at(change, np.minimum(at, count), 1)
+    np.add.at(change, np.minimum(at + WINDOW, count), -1)
     return np.cumsum(change[:-1]) > 0
 
 
