@@ -118,7 +118,7 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(p.reshape(-1, 64).sum(1), 1, atol=1e-5)
 
 
-def test_classifier_on_held_out_labels(spark):
+def test_classifier_agrees_with_labels(spark):
     folder = FOLDER.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: r.kept for r in quality_classifier.classify(docs).collect()}
