@@ -34,6 +34,13 @@ def test_ngram_join(request, table):
     assert set(rows(ngram_join.ngram_join(df))) == brute.ngram_join(pairs(df))
 
 
+def test_ngram_join_compares_all_texts_of_a_repeated_id(spark):
+    texts = [" ".join(f"{kind}{k}" for k in range(60)) for kind in "ab"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (3, texts[1] + " end")]
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {1}
+
+
 def test_ngram_join_finds_links_that_no_smallest_member_has(spark):
     base = [f"b{i}" for i in range(60)]
     texts = [list(base)]
