@@ -52,6 +52,14 @@ def test_ngram_join_finds_links_that_no_smallest_member_has(spark):
     assert set(rows(ngram_join.ngram_join(df))) == brute.ngram_join(pairs(df))
 
 
+def test_ngram_join_links_a_near_copy_of_many_copies(spark):
+    base = [f"b{i}" for i in range(60)]
+    near = base[:30] + ["changed"] + base[31:]
+    data = [(i, " ".join(base)) for i in range(1, 81)] + [(100, " ".join(near))]
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    assert set(rows(ngram_join.ngram_join(df))) == brute.ngram_join(data)
+
+
 def test_drop_copies_keeps_the_smallest(hard):
     kept = ngram_join.drop_copies(hard)
     assert kept.columns == hard.columns
