@@ -67,6 +67,14 @@ def test_drop_copies_keeps_the_smallest(hard):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_drop_copies_keeps_unlinked_texts_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{kind}{k}" for k in range(60)) for kind in "abc")
+    rows_ = [(1, a), (1, b), (2, b + " end"), (None, c), (None, c + " end"), (None, "other words"), (None, None), (3, None), (3, None), (42, "x")]
+    kept = ngram_join.drop_copies(spark.createDataFrame(rows_, "doc_id long, text string"))
+    want = [(1, a), (1, b), (None, c), (None, "other words"), (None, None), (3, None), (42, "x")]
+    assert rows(kept) == sorted(want, key=repr)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (100, 95), (7, 7)]
     got = exchange.components(spark.createDataFrame(edges, "a long, b long"))
