@@ -113,6 +113,15 @@ def test_pii_needs_checksum_or_context():
     assert pii.redacted("to a@b.co now", [("email", 3, 9)]) == "to [EMAIL] now"
 
 
+def test_iban_ends_before_words_and_numbers():
+    grouped = "GB82 WEST 1234 5698 7654 32"
+    for text in (f"pay {grouped} EUR", f"pay {grouped} 2024 NOW", f"pay XY34 {grouped} DE89 3704 0044 0532 0130 00 EUR"):
+        a = text.index(grouped)
+        found = pii.spans_of(text)[1]
+        assert ("iban", a, a + len(grouped)) in found
+    assert [text[a:b] for k, a, b in found if k == "iban"] == [grouped, "DE89 3704 0044 0532 0130 00"]
+
+
 def test_redact_keeps_columns(hard):
     out = pii.redact(hard)
     assert out.columns == hard.columns and out.where("text is null").count() == 1

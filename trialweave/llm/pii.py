@@ -38,6 +38,16 @@ CONTEXT = {
     "ssn": ("ssn", "social security", "sozialversicherung"),
 }
 
+IBAN_LENGTHS = {
+    country: int(x[:2])
+    for x in (
+        "15NO 16BE 18DK,FI,FO,GL,NL 19MK,SI 20AT,BA,EE,KZ,LT,LU,XK 21CH,HR,LI,LV 22BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23AE,GI,IL,IQ,TL 24AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25PT,ST 26IS,TR 27FR,GR,IT,MC,MR,SM "
+        "28AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29BR,EG,PS,QA,UA 30JO,KW,MU 31MT,SC 32LC"
+    ).split()
+    for country in x[2:].split(",")
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -102,16 +112,38 @@ def _score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float
     return own + checksum * confirmed + context * any(w in around for w in CONTEXT[kind])
 
 
+def _ibans(text: str, taken: Taken) -> list[Span]:
+    """Runs that mod 97 confirms. A run may go on into words and numbers behind blanks, so its shorter
+    ends at blanks count too: the one of its country's length first, then the longest. A run holds at most 34 letters and digits.
+    """
+    out: list[Span] = []
+    m = _IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        ends = [start + k for k in range(len(m[0]), 14, -1) if k == len(m[0]) or m[0][k] == " "]
+        codes = {end: text[start:end].replace(" ", "") for end in ends}
+        own = IBAN_LENGTHS.get(m[0][:2])
+        for end in sorted(ends, key=lambda e: (len(codes[e]) != own, -e)):
+            code = codes[end]
+            if len(code) >= 15 and not taken.overlap(start, end) and mod97(code) and _score("iban", text, start, end, True) >= THRESHOLD - 1e-9:
+                out.append(("iban", start, end))
+                taken.add(start, end)
+                at = end
+                break
+        m = _IBAN.search(text, at)
+    return out
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Further spans that score enough and overlap no span reported so far."""
-    out: list[Span] = []
     taken = Taken(base)
-    for kind, pattern in (("iban", _IBAN), ("card", _INNER_CARD), ("ssn", _SSN), ("phone", _PLAIN_PHONE)):
+    out = _ibans(text, taken)
+    for kind, pattern in (("card", _INNER_CARD), ("ssn", _SSN), ("phone", _PLAIN_PHONE)):
         for m in pattern.finditer(text):
             if taken.overlap(m.start(), m.end()):
                 continue
             code = m[0].replace(" ", "").replace("-", "")
-            confirmed = {"iban": lambda c: 15 <= len(c) <= 34 and mod97(c), "card": lambda c: c[0] in "3456" and luhn(c)}.get(kind)
+            confirmed = {"card": lambda c: c[0] in "3456" and luhn(c)}.get(kind)
             if confirmed and not confirmed(code):
                 continue
             if _score(kind, text, m.start(), m.end(), confirmed is not None) >= THRESHOLD - 1e-9:
