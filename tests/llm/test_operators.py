@@ -143,6 +143,15 @@ def test_quality_rules(request, table):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_rare_language_rejects_junk(spark):
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("etaoin"), 5)) for _ in range(200)]
+    texts = [(i, " ".join(rng.choice(plain, 60)), "en") for i in range(40)] + [(40, " ".join(rng.choice(plain, 60)), "yy")]
+    junk = " ".join("".join(rng.choice(list("QXZKVJqxzkvj0123#!"), 6)) for _ in range(60))
+    df = spark.createDataFrame([*texts, (41, junk, "xx"), (42, junk[::-1], None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in quality_rules.quality_rules(df).collect() if not r.kept] == [41, 42]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     gram = np.unique(rng.integers(0, 64**4, 3000))
