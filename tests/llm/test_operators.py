@@ -169,6 +169,14 @@ def test_classifier_agrees_with_labels(spark):
     assert sum(not got[d] for d, q in labels.items() if q) <= 0.01 * len(labels)
 
 
+def test_classifier_trains_without_ids(spark):
+    texts = [" ".join(f"word{(i * k) % 97} is" for k in range(40)) for i in range(30)] + ["##|| " * 60 + str(i) for i in range(10)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = [r.kept for r in quality_classifier.classify(df).collect()]
+    assert len(got) == 40 and not any(got[30:])
+    assert quality_classifier.keep_good(df).count() == sum(got)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     good = rng.random(20000) < 0.8

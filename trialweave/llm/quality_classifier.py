@@ -6,7 +6,7 @@ whole corpus; expectation-maximisation on these counts estimates the share of go
 each labeller votes on good and bad ones, and gives every pattern its posterior.
 *Scorer.* A logistic regression over hashed features (windows of three letter classes, and the
 labellers' measures in steps) learns the posteriors of a bounded sample: per likely class the
-``SAMPLE`` texts of smallest id hash. It then scores every text; below ``REJECT`` it is rejected.
+``SAMPLE`` texts of smallest hash of (doc_id, text). It then scores every text; below ``REJECT`` it is rejected.
 
 Nulls and empty texts get the votes of a text without words. Repeated rows count each, and are
 scored alike. An empty table gives an empty result.
@@ -203,9 +203,12 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Score
         for batch in batches:
             for part in slices(batch, "text"):
                 found = patterns(votes(measures(texts_of(part.column("text")))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "pattern"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found)], ["row", "pattern"])
 
-    voted = documents.mapInArrow(vote, "doc_id long, pattern long")
+    # rows are drawn by what they hold: null and repeated ids take part, and a retry draws the same
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
+    documents = documents.select(row.alias("row"), "text")
+    voted = documents.mapInArrow(vote, "row long, pattern long")
     table = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toArrow()
     pattern, n = table.column("pattern").to_numpy(), table.column("n").to_numpy()
     if not len(pattern):
@@ -215,33 +218,30 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Score
     drawn: dict[int, None] = {}
     for side in (True, False):
         own = [int(p) for p in pattern[good == side]]
-        rows = voted.where(F.col("pattern").isin(own) & F.col("doc_id").isNotNull()) if own else voted.limit(0)
-        rows = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        drawn.update(dict.fromkeys(r.doc_id for r in rows.collect()))
+        rows = voted.where(F.col("pattern").isin(own)) if own else voted.limit(0)
+        rows = rows.select("row").distinct().orderBy("row").limit(sample)
+        drawn.update(dict.fromkeys(r.row for r in rows.collect()))
     wanted = documents.sparkSession.sparkContext.broadcast(np.array(sorted(drawn), np.int64))
 
     def gather(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(np.isin(ids, wanted.value)))
+            batch = batch.filter(pa.array(np.isin(batch.column("row").to_numpy(), wanted.value)))
             for part in slices(batch, "text"):
                 texts = texts_of(part.column("text"))
                 m = measures(texts)
                 rows = sparse(texts, m)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
+                        part.column("row"),
                         pa.array(patterns(votes(m))),
                         pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()),
                         pa.array([r[1].astype(np.float32).tobytes() for r in rows], pa.binary()),
                     ],
-                    ["doc_id", "pattern", "slots", "shares"],
+                    ["row", "pattern", "slots", "shares"],
                 )
 
-    found = documents.mapInArrow(gather, "doc_id long, pattern long, slots binary, shares binary")
-    found = found.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    if found.empty:
-        return None
+    found = documents.mapInArrow(gather, "row long, pattern long, slots binary, shares binary")
+    found = found.dropDuplicates(["row"]).toPandas().sort_values("row", ignore_index=True)
     target = labels.posterior(found["pattern"].to_numpy())
     rows = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(found["slots"], found["shares"])]
     side = target >= 0.5
