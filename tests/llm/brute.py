@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -130,3 +131,29 @@ def rules(text):
             covered |= {i, i + 1, i + 2}
     failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ranked(documents, items, k=10):
+    """(item_id, rank, doc_id, score) of texts (doc_id, text) for items (item_id, text)."""
+    held = [(d, Counter(TERM.findall(lower(t or "")))) for d, t in documents]
+    held = [(d, c) for d, c in held if c]
+    total = sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for d, c in held:
+            m = 100 - 75 + 75 * sum(c.values()) * len(held) // total
+            score = 0
+            for t in TERM.findall(lower(text or "")):
+                if t in c:
+                    w = math.floor(1000 * math.log((2 * len(held) + 2) / (2 * df[t] + 1)))
+                    score += w * (1000000000 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0:
+                scores.append((-score, d is None, d))
+        for rank, (score, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1):
+            out.append((item, rank, d, -score))
+    return out

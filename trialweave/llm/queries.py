@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
+from . import chat, decontaminate, lexical_search, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 from .exchange import read_table
 
 VOCABULARY = "piece_bpe_32k.model"  # of the installed public vocabularies
@@ -57,6 +57,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_check(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,7 +74,8 @@ QUERIES = {
         op8_quality_classifier,
         op9_warc,
         op10_chat,
+        op13_lexical_search,
     )
 }
 
-SQL = {"op9_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+SQL = {"op9_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
