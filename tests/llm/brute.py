@@ -157,3 +157,43 @@ def ranked(documents, items, k=10):
         for rank, (score, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1):
             out.append((item, rank, d, -score))
     return out
+
+
+def hard_negatives(rows):
+    """(anchor_id, positive_id, rank, negative_id, scores) of rows (vec_id, embedding, label)."""
+    whole = [
+        (i, [math.floor(256 * x) for x in v], label)
+        for i, v, label in rows
+        if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for k, (anchor, v, label) in enumerate(whole):
+        if anchor is None or anchor % 50:
+            continue
+        scored = [(sum(a * b for a, b in zip(v, w)), i, own) for j, (i, w, own) in enumerate(whole) if j != k]
+        scored.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+        for p, positive, _ in [x for x in scored if x[2] == label][:5]:
+            found = [(s, i) for s, i, own in scored if own != label and 50 * p <= 100 * s <= 95 * p][:3]
+            out += [(anchor, positive, rank, i, p, s) for rank, (s, i) in enumerate(found, 1)]
+    return out
+
+
+def suffix_dedup(rows, length=50):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of texts (doc_id, text)."""
+    low = -(2**63)
+    texts = [(low if d is None else d, (t or "").encode()) for d, t in rows]
+    least = {}
+    for d, t in texts:
+        for i in range(len(t) - length + 1):
+            key = t[i : i + length]
+            least[key] = min(least.get(key, d), d)
+    out = []
+    for d, t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if least[t[i : i + length]] < d:
+                gone[i : i + length] = b"\x01" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        out.append((None if d == low else d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lexical_search, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
+from . import chat, decontaminate, hard_negatives, lexical_search, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
 from .exchange import read_table
 
 VOCABULARY = "piece_bpe_32k.model"  # of the installed public vocabularies
@@ -57,6 +58,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_check(read_table(spark, sf_dir, "conversations")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -74,8 +85,10 @@ QUERIES = {
         op8_quality_classifier,
         op9_warc,
         op10_chat,
+        op11_hard_negatives,
+        op12_suffix_dedup,
         op13_lexical_search,
     )
 }
 
-SQL = {"op9_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
+SQL = {"op9_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
