@@ -18,6 +18,7 @@ from trialweave.models import (
     marginal_means,
     pairwise,
 )
+from trialweave.models import schur
 from trialweave.models.compare import chi2_tail
 from trialweave.models.contrasts import CODINGS
 from trialweave.models.marginal import tukey_tail
@@ -93,11 +94,12 @@ def logistic(spark):
 CROSSED = Model("y", (X,), SLOPE, random=(Random("u", SLOPE), Random("b")))
 
 
-@pytest.mark.parametrize("local_values", [0, 20_000])
-def test_lmm_is_the_minimum_of_the_dense_deviance(linear, local_values):
+@pytest.mark.parametrize("tile", [schur.TILE, 2])
+def test_lmm_is_the_minimum_of_the_dense_deviance(linear, tile, monkeypatch):
+    monkeypatch.setattr(schur, "TILE", tile)  # 2: items in three tiles on the cluster
     pdf, df = linear
     for reml in (True, False):
-        f = fit_lmm(df, CROSSED, reml=reml, local_values=local_values)
+        f = fit_lmm(df, CROSSED, reml=reml)
         dev, beta = dense_lmm(pdf, f.theta, reml)
         assert f.converged and f.deviance == pytest.approx(dev, abs=1e-7)
         assert f.beta == pytest.approx(beta, abs=1e-8)
@@ -114,10 +116,9 @@ def test_slopes_of_both_groupings(linear):
         assert abs(up - down) < 1e-5
 
 
-@pytest.mark.parametrize("local_values", [0, 20_000])
-def test_glmm_is_the_minimum_of_the_dense_laplace_deviance(logistic, local_values):
+def test_glmm_is_the_minimum_of_the_dense_laplace_deviance(logistic):
     pdf, df = logistic
-    f = fit_glmm(df, CROSSED, local_values=local_values)
+    f = fit_glmm(df, CROSSED)
     assert f.converged and f.deviance == pytest.approx(dense_laplace(pdf, f.theta, f.beta), abs=1e-5)
     point, h = np.concatenate([f.theta, f.beta]), 1e-3
     for e in np.eye(len(point)):
@@ -183,6 +184,23 @@ def test_contrast_matrices():
     assert p[:, 1] == pytest.approx(np.array([1, -2, 1]) / math.sqrt(6))
 
 
+def test_small_sample_tails():
+    from trialweave.models.degrees import range_tail, t_quantile, t_tail
+
+    assert t_tail(2.2281388519649385, 10) == pytest.approx(0.05) and t_tail(12.706204736432095, 1) == pytest.approx(0.05)
+    assert t_quantile(0.975, 4) == pytest.approx(2.7764451051977987)
+    for q, k, df in ((3.877, 3, 10), (3.578, 3, 20), (3.958, 4, 20), (3.977, 5, 60), (3.151, 2, 10)):
+        assert range_tail(q, k, df) == pytest.approx(0.05, abs=2e-4)
+    assert range_tail(2.5 * 2**0.5, 2, 7) == pytest.approx(t_tail(2.5, 7), abs=1e-5)
+
+
+def test_both_methods_find_the_same_minimum(linear):
+    _, df = linear
+    a, b = (fit_lmm(df, CROSSED, method=m) for m in ("newton", "quasi-newton"))
+    assert b.converged and b.deviance == pytest.approx(a.deviance, abs=1e-7)
+    assert np.abs(b.theta) == pytest.approx(np.abs(a.theta), abs=1e-4)
+
+
 def test_tails():
     assert chi2_tail(3.841458820694124, 1) == pytest.approx(0.05)
     assert chi2_tail(9.487729036781154, 4) == pytest.approx(0.05)
@@ -203,12 +221,128 @@ def test_tables(spark, logistic):
     assert pairwise(spark, f, ["x"]).first().estimate == pytest.approx(-2 * f.beta[1])
 
 
-def test_refuses_what_does_not_fit_the_design(spark):
-    df = spark.range(30_000).selectExpr("id % 10 as u", "cast(id as double) as x", "rand(1) as y")
-    with pytest.raises(ValueError):
-        fit_lmm(df, Model("y", (Numeric("x"),), (("x",),), random=(Random("u"),)))
-    with pytest.raises(ValueError):
-        fit_lmm(df.limit(3000), Model("y", random=(Random("u"), Random("x"))))
+def test_numeric_predictor_of_many_values(spark):
+    """100 000 different values, against least squares with the units' known covariance."""
+    rng = np.random.default_rng(11)
+    n, units = 100_000, 50
+    u, x = rng.integers(0, units, n), rng.normal(size=n)
+    y = 1.0 + 0.5 * x + rng.normal(size=units)[u] + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"u": u, "x": x, "y": y}))
+    f = fit_lmm(df, Model("y", (Numeric("x"),), (("x",),), random=(Random("u"),)))
+    assert f.converged
+    design = np.c_[np.ones(n), x]
+    a, right, log_det = np.zeros((2, 2)), np.zeros(2), 0.0
+    rss = y @ y
+    for k in range(units):
+        on = u == k
+        shrink = f.theta[0] ** 2 / (1 + f.theta[0] ** 2 * on.sum())
+        sx, sy = design[on].sum(0), y[on].sum()
+        a += design[on].T @ design[on] - shrink * np.outer(sx, sx)
+        right += design[on].T @ y[on] - shrink * sx * sy
+        rss -= shrink * sy * sy
+        log_det += math.log(1 + f.theta[0] ** 2 * on.sum())
+    beta = np.linalg.solve(a, right)
+    assert f.beta == pytest.approx(beta, abs=1e-8)
+    df_ = n - 2
+    want = log_det + np.linalg.slogdet(a)[1] + df_ * (1 + math.log(2 * math.pi * (rss - right @ beta) / df_))
+    assert f.deviance == pytest.approx(want, abs=1e-5)
+
+
+def test_ten_thousand_items(spark):
+    """Items in lists, each list seen by its own units: only the tiles of a list are filled."""
+    from trialweave.models.lmm import Deviance
+    from trialweave.models.moments import check, design_of, moments_of
+
+    rng = np.random.default_rng(12)
+    lists, per_list, per_unit = 50, 200, 60
+    rows = []
+    for k in range(lists):
+        for j in range(12):
+            for i in rng.choice(per_list, per_unit, replace=False):
+                rows.append((k * 100 + j, k * per_list + int(i), 2.0 + rng.normal()))
+    pdf = pd.DataFrame(rows, columns=["u", "b", "y"])
+    seen = pdf.b.nunique()
+    design = design_of(spark.createDataFrame(pdf), Model("y", random=(Random("u"), Random("b"))))
+    assert design.n_items == seen > 9_500
+    dev = Deviance(moments_of(design, *check(design)), True)
+    theta, h = np.array([0.8, 0.5]), 1e-5
+
+    def dense(theta):
+        """The lists are independent: their dense deviances add up."""
+        log_det, a, right, rss, n = 0.0, 0.0, 0.0, 0.0, len(pdf)
+        for _, part in pdf.groupby(pdf.u // 100):
+            same = [part[c].values[:, None] == part[c].values for c in "ub"]
+            v = np.eye(len(part)) + theta[0] ** 2 * same[0] + theta[1] ** 2 * same[1]
+            solved = np.linalg.solve(v, np.c_[np.ones(len(part)), part.y])
+            log_det += np.linalg.slogdet(v)[1]
+            a, right, rss = a + solved[:, 0].sum(), right + solved[:, 1].sum(), rss + part.y @ solved[:, 1]
+        rss -= right**2 / a
+        return log_det + math.log(a) + (n - 1) * (1 + math.log(2 * math.pi * rss / (n - 1)))
+
+    value, grad, *_ = dev.solve(*dev.borders([theta], True)[0])
+    assert value == pytest.approx(dense(theta), abs=1e-6)
+    for e, g in zip(np.eye(2), grad):
+        assert g == pytest.approx((dense(theta + h * e) - dense(theta - h * e)) / (2 * h), abs=0.05)
+
+
+def test_tiles_give_what_one_matrix_gives(spark):
+    """Complement, log determinant, their derivatives and the solution of a matrix with absent tiles."""
+    rng = np.random.default_rng(13)
+    n, e, k = 23, 3, 2
+    dense = np.zeros((1 + k, n + e, n + e))
+    mask = np.zeros((n, n), bool)
+    for block in (slice(0, 7), slice(6, 12), slice(12, 20), slice(18, 23)):
+        mask[block, block] = True
+    a = np.where(mask, rng.normal(size=(n, n)), 0)
+    dense[0, :n, :n] = a @ a.T * 0.1 + np.eye(n) * 5
+    for layer in dense[1:]:
+        s = rng.normal(size=(n, n)) * mask
+        layer[:n, :n] = s + s.T
+    for layer in dense:
+        layer[n:, :n] = rng.normal(size=(e, n))
+        layer[:n, n:] = layer[n:, :n].T
+        c = rng.normal(size=(e, e))
+        layer[n:, n:] = c + c.T + 50 * np.eye(e)
+    shape = schur.Shape(n, 1, e, k, tile=4)
+    cuts = [*range(0, n, 4), n, n + e]
+    tiles = []
+    for i in range(len(cuts) - 1):
+        for j in range(i + 1):
+            t = dense[:, cuts[i] : cuts[i + 1], cuts[j] : cuts[j + 1]]
+            if np.abs(t).sum() > 0:
+                tiles += [(cand, i, j, np.ascontiguousarray(t).tobytes()) for cand in (0, 1)]
+    rows = [bytearray(t[3]) for t in tiles]
+    df = spark.createDataFrame([(c, i, j, d) for (c, i, j, _), d in zip(tiles, rows)], schur.TILES).repartition(3)
+    rest, logs, solution = schur.eliminate_one(dense[:, :n, :n], dense[:, n:, :n], dense[:, n:, n:])
+    h = 1e-6
+    moved = dense[0] + h * dense[1], dense[0] - h * dense[1]
+    slope = [np.linalg.slogdet(m[:n, :n])[1] for m in moved]
+    assert logs[1] == pytest.approx((slope[0] - slope[1]) / (2 * h), rel=1e-5)
+    complement = [m[n:, n:] - m[n:, :n] @ np.linalg.solve(m[:n, :n], m[:n, n:]) for m in moved]
+    assert rest[1] == pytest.approx((complement[0] - complement[1]) / (2 * h), rel=1e-4, abs=1e-4)
+    for found in schur.eliminate(df, shape, 2, 4, solve=True):
+        for x, y in zip(found, (rest, logs, solution)):
+            assert x == pytest.approx(y, abs=1e-9)
+    assert schur.levels_of({(1, 0), (3, 2), (3, 1)}, 4) == [[0, 2], [1], [3]]
+    assert len(schur.levels_of({(i + 1, i) for i in range(63)}, 64)) <= 7
+    assert schur.levels_of({(i, j) for i in range(4) for j in range(i)}, 4) == [[0], [1], [2], [3]]
+
+
+def test_glmm_with_items_in_tiles(logistic, monkeypatch):
+    """A whole evaluation of the Laplace deviance with items on the cluster."""
+    from trialweave.models import glmm
+    from trialweave.models.moments import design_of
+
+    pdf, df = logistic
+    cells = glmm.Cells(design_of(df, CROSSED))
+    point = np.array([0.8, 0.1, 0.4, 0.6, 0.3, 0.4])
+    whole = glmm.Laplace(cells)
+    monkeypatch.setattr(schur, "TILE", 2)
+    tiled = glmm.Laplace(cells)
+    want = dense_laplace(pdf, point[:4], point[4:])
+    assert whole([point, point * 1.01])[0] == pytest.approx(want, abs=1e-6)
+    assert tiled([point, point * 1.01]) == pytest.approx(whole([point, point * 1.01]), abs=1e-6)
+    assert tiled.information(point) == pytest.approx(whole.information(point), rel=1e-6)
 
 
 def test_says_what_is_wrong_with_the_levels(spark, linear):

@@ -209,7 +209,7 @@ def test_catalogue_is_consistent():
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "x y"), ("b", ' lead "q"')], "k string, t string")
-    write_numbered_csv(df, str(tmp_path / "numbered"))
+    write_numbered_csv(df, str(tmp_path / "numbered"), df.columns[:1])
     back = read_intermediate(spark, str(tmp_path / "numbered"), ["k", "t"])
     assert sorted(r.t for r in back.collect()) == ['lead "q"', "x y"] and back.columns == ["k", "t"]
     write_table(df, str(tmp_path / "t"), ["k"])

@@ -16,6 +16,14 @@ def strip_literals(c, literals) -> Column:
     return out
 
 
+def replace_literals(c, pairs: dict[str, str]) -> Column:
+    """Replace every given literal (no patterns) by its other text, one after the other."""
+    out = _col(c)
+    for old, new in pairs.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
 def answer(c, question: str = "Q0") -> Column:
     """The single answer of a JSON record. Text that is not JSON is unwrapped literally."""
     c = _col(c)
@@ -62,3 +70,31 @@ def drop_extension(c, n: int = 4) -> Column:
 def tag_by_pattern(c, pattern: str, yes: str, no: str) -> Column:
     """Tag by regular expression; like pattern tests on text, a missing name does not match."""
     return F.when(F.coalesce(_col(c).rlike(pattern), F.lit(False)), yes).otherwise(no)
+
+
+CORRUPT = "_corrupt"
+
+
+def parsed_answer(c, fields: dict[str, str]) -> Column:
+    """A JSON object as a struct of typed fields; ``_corrupt`` holds the whole text where it can't be read."""
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in fields.items()), f"{CORRUPT} string"])
+    return F.from_json(_col(c), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def round_trips(c, fields: dict[str, str]) -> Column:
+    """Whether the text, read into these fields, written and read again, is the same and all that was there.
+
+    False for unreadable text and for objects with other fields; missing for missing text.
+    """
+    first = parsed_answer(c, fields)
+    keys = F.coalesce(F.size(F.json_object_keys(_col(c))), F.lit(-1))
+    again = parsed_answer(F.to_json(first.dropFields(CORRUPT)), fields)
+    whole = F.filter(F.array(*[first[n].isNotNull() for n in fields]), lambda x: x)
+    same = first[CORRUPT].isNull() & (F.to_json(first) == F.to_json(again)) & (keys == F.size(whole))
+    return F.when(_col(c).isNotNull(), F.coalesce(same, F.lit(False)))
+
+
+def discovered_fields(df, c):
+    """(field, n): names of the objects' fields and in how many texts they occur, in one pass; unreadable texts have none."""
+    keys = df.select(F.explode(F.json_object_keys(_col(c))).alias("field"))
+    return keys.groupBy("field").agg(F.count(F.lit(1)).alias("n"))

@@ -1,8 +1,8 @@
-"""Logistic and linear (mixed) models on compressed trial tables.
+"""Logistic and linear (mixed) models on reduced trial tables.
 
-Spark reduces the log to one row per unit holding counts and sums per design point; every
-evaluation of a model is a distributed sum over those rows, and only matrices of the size of the
-design come back to the driver.
+Spark reduces the log to one row per unit; every evaluation of a model is a distributed sum over
+those rows. Matrices over many items stay on the cluster as tiles; only sums of the size of the fixed
+part, of few items' effects or of a vector of item effects come back to the driver.
 """
 
 from pyspark import cloudpickle

@@ -46,7 +46,7 @@ class Factor:
 
 @dataclass(frozen=True)
 class Numeric:
-    """Numeric predictor with few distinct values."""
+    """Numeric predictor."""
 
     name: str
 
@@ -74,8 +74,8 @@ class Random:
 class Model:
     """``response ~ fixed + random``; a term is a tuple of predictor names (interaction if > 1).
 
-    At most two random groupings: the first is the large one (units), the second the small one
-    (items).
+    At most two random groupings, units and items. Units are eliminated first, inside the tasks;
+    name the larger grouping first.
     """
 
     response: str
@@ -123,6 +123,19 @@ class Model:
     def random_names(self, r: Random) -> list[str]:
         return [name for name, _ in self._term_columns(r.terms, r.intercept)]
 
+    def expressions(self, terms=None, intercept=None) -> list[Column]:
+        """Design columns as Spark columns (default: the fixed part)."""
+        terms = self.fixed if terms is None else terms
+        intercept = self.intercept if intercept is None else intercept
+        codes = [p.expressions() for p in self.predictors]
+        out = []
+        for _, parts in self._term_columns(terms, intercept):
+            e = F.lit(1.0)
+            for i, j in parts:
+                e = e * codes[i][j]
+            out.append(e.cast("double"))
+        return out
+
     def column_expressions(self) -> list[tuple[str, Column]]:
         """Fixed part as Spark columns (without the intercept)."""
         exprs = [p.expressions() for p in self.predictors]

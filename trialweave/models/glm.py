@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import checkpointed
-from .compress import cells_of
 from .design import Model
-from .fit import Fit, inverse_logit
+from .fit import Fit
+from .moments import cells_of
 
 
 def fit_glm(

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from .degrees import range_tail, satterthwaite, t_quantile, t_tail
 from .design import Factor
 from .fit import Fit, normal_quantile, normal_tail
 
@@ -41,29 +42,42 @@ def marginal_means(
     response: bool = False,
     at: dict[str, Sequence] | None = None,
     level: float = 0.95,
+    df: str = "normal",
 ) -> DataFrame:
-    """Mean per cell of ``by``, other factors averaged with equal weight; normal intervals.
+    """Mean per cell of ``by``, other factors averaged with equal weight.
 
-    ``response=True`` gives probabilities for logistic fits (interval ends transformed, delta
+    Intervals and tests are normal, or with ``df="satterthwaite"`` (linear mixed models) those of t
+    with estimated degrees of freedom, in a further column ``df``. ``response=True`` gives probabilities for logistic fits (interval ends transformed, delta
     standard errors); the test is always against 0 on the link scale.
     """
     cells, rows = _grid(fit, by, at)
-    z = normal_quantile(0.5 + level / 2.0)
+    degrees = _degrees(fit, df)
     out = []
     for cell, row in zip(cells, rows):
-        est, se = float(row @ fit.beta), math.sqrt(row @ fit.cov @ row)
+        est, se, free = float(row @ fit.beta), math.sqrt(row @ fit.cov @ row), degrees(row)
+        z = t_quantile(0.5 + level / 2.0, free) if free else normal_quantile(0.5 + level / 2.0)
         low, high, stat = est - z * se, est + z * se, est / se
         if response and fit.family == "binomial":
             probs = [1.0 / (1.0 + math.exp(-v)) for v in (est, low, high)]
             se = se * probs[0] * (1.0 - probs[0])
             est, low, high = probs
-        out.append((*[str(c) for c in cell], est, se, low, high, stat, normal_tail(stat)))
+        p_value = t_tail(stat, free) if free else normal_tail(stat)
+        out.append((*[str(c) for c in cell], est, se, low, high, stat, p_value, free))
     fields = ", ".join(f"`{b}` string" for b in by)
-    return spark.createDataFrame(
+    table = spark.createDataFrame(
         out,
         f"{fields}, estimate double, std_error double, low double, high double, "
-        "statistic double, p_value double",
+        "statistic double, p_value double, df double",
     )
+    return table if df == "satterthwaite" else table.drop("df")
+
+
+def _degrees(fit: Fit, df: str):
+    if df == "normal":
+        return lambda row: None
+    if df != "satterthwaite":
+        raise ValueError(f"unknown degrees of freedom: {df!r}")
+    return satterthwaite(fit)
 
 
 def tukey_tail(z: float, k: int) -> float:
@@ -82,21 +96,28 @@ def pairwise(
     fit: Fit,
     by: Sequence[str],
     at: dict[str, Sequence] | None = None,
+    df: str = "normal",
 ) -> DataFrame:
-    """All differences between marginal means with Wald and Tukey-adjusted p."""
+    """All differences between marginal means with Wald and Tukey-adjusted p.
+
+    ``df="satterthwaite"``: tails of t and of the studentised range, and a column ``df``.
+    """
     cells, rows = _grid(fit, by, at)
+    degrees = _degrees(fit, df)
     out = []
     for i, j in itertools.combinations(range(len(cells)), 2):
         row = rows[i] - rows[j]
         est, se = float(row @ fit.beta), math.sqrt(row @ fit.cov @ row)
         label = " - ".join(" ".join(str(v) for v in cells[c]) for c in (i, j))
-        stat = est / se
-        out.append(
-            (label, est, se, stat, normal_tail(stat), tukey_tail(stat, len(cells)),
-             math.exp(est) if fit.family == "binomial" else None)
-        )
-    return spark.createDataFrame(
+        stat, free = est / se, degrees(row)
+        if free:
+            tails = t_tail(stat, free), range_tail(abs(stat) * math.sqrt(2.0), len(cells), free)
+        else:
+            tails = normal_tail(stat), tukey_tail(stat, len(cells))
+        out.append((label, est, se, stat, *tails, math.exp(est) if fit.family == "binomial" else None, free))
+    table = spark.createDataFrame(
         out,
         "contrast string, estimate double, std_error double, statistic double, p_value double, "
-        "p_tukey double, odds_ratio double",
+        "p_tukey double, odds_ratio double, df double",
     )
+    return table if df == "satterthwaite" else table.drop("df")

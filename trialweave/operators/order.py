@@ -1,9 +1,9 @@
 """Operators that depend on row order inside a unit.
 
-Spark tables have no row order, so an integer order column, unique inside the unit, is required.
-Small units use one window.  When the profile shows a unit above ``rows_per_task``, order is cut
-into chunks of that many order values: a window never sees more than one chunk of one unit, and
-what passes between chunks is one row per (unit, chunk).
+Spark tables have no row order, so an order column of numbers, dates or times, unique inside the
+unit, is required. Small units use one window. A unit above the profile's ``rows_per_task`` is cut
+into chunks of about that many rows: a window never sees more than one chunk of one unit, and
+what passes between chunks, the state at a chunk's end, is one row per (unit, chunk).
 """
 
 from __future__ import annotations
@@ -14,15 +14,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .units import UnitProfile, attach_group_stats, null_safe_join, profile_units
+from ..sources.work import stored
+from .units import UnitProfile, attach_group_stats, null_safe_join, profile_units, unit_join
 
 _CHUNK = "_chunk"
+ACCURACY = 10_000
 
 
-def _chunked(log: DataFrame, order: str, size: int) -> DataFrame:
-    if not isinstance(log.schema[order].dataType, T.IntegralType):
-        raise ValueError(f"order column {order!r} must be an integer column")
-    return log.withColumn(_CHUNK, F.floor(F.col(order) / size))
+def _measure(log: DataFrame, order: str) -> Column:
+    """The order column as a number."""
+    kind = log.schema[order].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(order)
+    if isinstance(kind, T.NumericType):
+        return F.col(order)
+    raise ValueError(f"order column {order!r} must hold numbers, dates or times")
+
+
+def _chunked(log: DataFrame, unit: Sequence[str], order: str, profile: UnitProfile) -> DataFrame:
+    """The log with the number of each row's chunk inside its unit, rising with the order.
+
+    Units above the limit are cut at approximate quantiles of the order column, so chunks hold
+    about the limit's rows whatever the values' spacing; the others are one chunk.
+    """
+    most = -(-profile.largest // profile.rows_per_task)
+    shares = F.array(*[F.lit(k / most) for k in range(1, most)])
+    hot = null_safe_join(log.select(*unit, _measure(log, order).alias("_at")), profile.hot, unit, "inner")
+    cuts = hot.groupBy(*unit, "_splits").agg(F.percentile_approx("_at", shares, max(ACCURACY, 20 * most)).alias("_cuts"))
+    # one list of shares for all units: a unit with fewer chunks keeps every few of its cuts
+    part = lambda k: F.floor(k * F.col("_splits") / most)
+    cuts = cuts.select(*unit, F.filter("_cuts", lambda c, k: part(k + 1) > part(k)).alias("_cuts"))
+    joined = unit_join(log, stored(cuts, "cuts")[0], unit, "left", profile)
+    below = F.size(F.filter("_cuts", lambda c: c < _measure(log, order)))
+    return joined.withColumn(_CHUNK, F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
 def _require(log: DataFrame, order: str) -> None:
@@ -40,10 +66,10 @@ def sequence_number(
     """1, 2, ... inside each unit in the order of ``order``."""
     _require(log, order)
     profile = profile or profile_units(log, unit)
-    if profile.largest <= profile.rows_per_task:
+    if profile.hot is None:
         w = Window.partitionBy(*unit).orderBy(order)
         return log.withColumn(name, F.row_number().over(w).cast("long"))
-    cut = _chunked(log, order, profile.rows_per_task)
+    cut = _chunked(log, unit, order, profile)
     before = Window.partitionBy(*unit).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*unit, _CHUNK)
@@ -85,10 +111,10 @@ def carry_forward(
     name = name or value
     profile = profile or profile_units(log, unit)
     upto_here = (Window.unboundedPreceding, Window.currentRow)
-    if profile.largest <= profile.rows_per_task:
+    if profile.hot is None:
         w = Window.partitionBy(*unit).orderBy(order).rowsBetween(*upto_here)
         return log.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    cut = _chunked(log, order, profile.rows_per_task)
+    cut = _chunked(log, unit, order, profile)
     before = Window.partitionBy(*unit).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         cut.groupBy(*unit, _CHUNK)
@@ -134,3 +160,20 @@ def display_rank(df: DataFrame, column: str, levels: Sequence, name: str) -> Dat
 
     rank: Column = order_rank(column, levels)
     return df.withColumn(name, rank)
+
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers in the order of the columns, rows equal in them in any order.
+
+    The sorted table is stored once, so that its partitions stay as they are; each goes on
+    where those before it end. No task sees more than its own partition.
+    """
+    placed = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed, _ = stored(placed, "numbered")
+    part = F.shiftright("_place", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))  # a row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_part", part).join(sizes, "_part")
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + start
+    return joined.withColumn(name, number).drop("_part", "_place", "_before")

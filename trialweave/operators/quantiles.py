@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import stored
 from .units import ROWS_PER_TASK, null_safe_join, profile_units, unit_join
 
 BRACKET = 5e-4  # half width, in probability, of the slice around a wanted quantile
@@ -51,9 +52,9 @@ def _sliced(df, by, value, probs) -> DataFrame:
     counts = df.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    # an array of cuts per group: broadcast only while few groups need it
-    profile = profile_units(counts, keys, broadcast_units=10_000)
-    sliced = unit_join(counts, cuts, keys, "inner", profile)
+    # an array of cuts per group: its measured size decides the join
+    cuts, _ = stored(cuts, "cuts")
+    sliced = unit_join(counts, cuts, keys, "inner", profile_units(counts, keys))
     sliced = sliced.withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     ).drop("_cuts")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_mean
-from ..sources.work import checkpointed
+from ..sources.work import checkpointed, stored
 from .quantiles import group_quantiles
 from .units import null_safe_join
 
@@ -121,23 +121,24 @@ def five_number(df: DataFrame, by: Sequence[str], value: str, group_limit: int |
     return out if groups else out.drop("_all")
 
 
-def contingency(df: DataFrame, factors: Sequence[str], max_cells: int = 1_000_000) -> DataFrame:
+def contingency(df: DataFrame, factors: Sequence[str], max_cells: int | None = None) -> DataFrame:
     """Cell counts of all level combinations, zero cells included, missing levels dropped.
 
-    Levels are read from the aggregated cells, which are kept, so the data are read once.
+    Levels are distinct values of the aggregated cells, which are stored, so the data are read once;
+    the grid, whose rows are the result's rows, is built from the level tables on the cluster. ``max_cells``
+    refuses larger results, by exact counts.
     """
-    present = checkpointed(
-        df.dropna(subset=list(factors)).groupBy(*factors).agg(F.count(F.lit(1)).alias("n"))
+    present, _ = stored(
+        df.dropna(subset=list(factors)).groupBy(*factors).agg(F.count(F.lit(1)).alias("n")), "cells"
     )
-    # sketches first: the exact level lists are only gathered when they are known to be short
-    estimate = present.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
-    cells = math.prod(estimate)
-    if cells > max_cells:
-        raise ValueError(f"contingency table would have about {cells} cells (limit {max_cells})")
-    level_sets = present.agg(*[F.collect_set(f).alias(f"_l_{f}") for f in factors])
-    grid = level_sets
-    for f in factors:
-        grid = grid.withColumn(f, F.explode(f"_l_{f}")).drop(f"_l_{f}")
+    levels = [present.select(f).distinct() for f in factors]
+    if max_cells is not None:
+        cells = math.prod(level.count() for level in levels)
+        if cells > max_cells:
+            raise ValueError(f"contingency table would have {cells} cells (limit {max_cells})")
+    grid = levels[0]
+    for level in levels[1:]:
+        grid = grid.crossJoin(level)
     return null_safe_join(grid, present, factors, "left").withColumn(
         "n", F.coalesce(F.col("n"), F.lit(0))
     )

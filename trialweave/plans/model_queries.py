@@ -402,3 +402,176 @@ def glmm_family(spark, d):
     return fit_family(spark, like_me_rows(spark, d), model, subsets, keep=["event"])
 
 
+
+
+TILTED_SQL = CELLS_SQL.replace("avg(value) AS y FROM events", "avg(value) + 20 * (user_id % 5) AS y FROM events") + """,
+    w AS (SELECT *, ssa / (ni - 1) AS msa, sse / ((ni - 1) * (nj - 1)) AS mse FROM q)
+"""
+
+
+def tilted_means(spark, d) -> DataFrame:
+    """Mean value per user and type with known differences between users, so that their variance is not zero."""
+    return cell_means(spark, d).withColumn("v", F.col("v") + 20 * (F.col("user_id") % 5))
+
+
+@query(
+    "lmm_satterthwaite",
+    "WITH "
+    + TILTED_SQL
+    + """
+    SELECT t AS event_type, round(y, 4) AS estimate, round(sqrt((msa + (nj - 1) * mse) / (ni * nj)), 4) AS std_error,
+           round((msa + (nj - 1) * mse) ^ 2 / (msa ^ 2 / (ni - 1) + ((nj - 1) * mse) ^ 2 / ((ni - 1) * (nj - 1))), 1) AS df
+    FROM mt, w
+    """,
+)
+def lmm_satterthwaite(spark, d):
+    """Marginal means with degrees of freedom from the curvature of the deviance."""
+    fit = fit_lmm(tilted_means(spark, d), by_type())
+    out = marginal_means(spark, fit, ["event_type"], df="satterthwaite")
+    return out.select(
+        "event_type", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"), F.round("df", 1).alias("df")
+    )
+
+
+@query(
+    "lmm_t_pairs",
+    "WITH "
+    + TILTED_SQL
+    + """,
+    pr AS (SELECT a.t || ' - ' || b.t AS contrast, a.y - b.y AS estimate, sqrt(2 * mse / ni) AS se,
+                  (ni - 1) * (nj - 1) AS nu, atan(abs(a.y - b.y) / sqrt(2 * mse / ni) / sqrt((ni - 1) * (nj - 1))) AS th
+           FROM mt a JOIN mt b ON a.t < b.t, w),
+    co AS (SELECT j, exp(sum(CASE WHEN j = 0 THEN 0 ELSE ln((2 * j - 1) / (2.0 * j)) END) OVER (ORDER BY j)) AS c
+           FROM range((SELECT ((ni - 1) * (nj - 1) / 2)::BIGINT FROM w)) r(j))
+    SELECT contrast, round(estimate, 4) AS estimate, round(se, 4) AS std_error, round(nu, 1) AS df,
+           round(1 - sin(th) * sum(c * cos(th) ^ (2 * j)), 5) AS p_value
+    FROM pr, co GROUP BY contrast, estimate, se, nu, th
+    """,
+)
+def lmm_t_pairs(spark, d):
+    """Pairwise contrasts with p-values of t; for even degrees of freedom the tail is a finite sum."""
+    fit = fit_lmm(tilted_means(spark, d), by_type("centered_treatment"))
+    out = pairwise(spark, fit, ["event_type"], df="satterthwaite")
+    digits = {"estimate": 4, "std_error": 4, "df": 1, "p_value": 5}
+    return out.select("contrast", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+@query(
+    "lmm_zero_mean",
+    "WITH "
+    + TILTED_SQL
+    + """,
+    z AS (SELECT ni, nj, nj * (SELECT sum(y ^ 2) FROM mu) / ni AS la,
+                 ((SELECT sum(y ^ 2) FROM c) - nj * (SELECT sum(y ^ 2) FROM mu)) / (ni * nj - ni) AS s2 FROM w),
+    e AS (SELECT *, ni * nj * (1 + ln(2 * pi())) + ni * ln(la) + (ni * nj - ni) * ln(s2) AS dev FROM z)
+    SELECT 'user_id' AS grouping, round((la - s2) / nj, 3) AS covariance, round(dev, 4) AS deviance FROM e
+    UNION ALL SELECT 'Residual', round(s2, 3), round(dev, 4) FROM e
+    """,
+)
+def lmm_zero_mean(spark, d):
+    """A model without any fixed part: the units' variance is about zero."""
+    fit = fit_lmm(tilted_means(spark, d), Model("v", intercept=False, random=(Random("user_id"),)), reml=False)
+    out = fit.variance_components(spark).select("grouping", F.round("covariance", 3).alias("covariance"))
+    return out.withColumn("deviance", F.round(F.lit(fit.deviance), 4))
+
+
+@query(
+    "lmm_singular",
+    "WITH "
+    + CELLS_SQL
+    + """
+    SELECT 'user_id' AS grouping, 0.0::DOUBLE AS covariance, true AS singular FROM q
+    UNION ALL SELECT 'Residual', round(sse / (ni * nj - nj), 3), true FROM q
+    """,
+)
+def lmm_singular(spark, d):
+    """Users without any difference in their means: the variance between them is estimated as exactly zero."""
+    cells = cell_means(spark, d)
+    own = cells.groupBy("user_id").agg(F.avg("v").alias("m"))
+    fit = fit_lmm(lookup_join(cells, own, ["user_id"], "inner").withColumn("v", F.col("v") - F.col("m")).drop("m"), by_type())
+    out = fit.variance_components(spark)
+    return out.select("grouping", F.abs(F.round("covariance", 3)).alias("covariance")).withColumn("singular", F.lit(fit.singular))
+
+
+@query(
+    "lmm_codings",
+    "WITH "
+    + CELLS_SQL
+    + """,
+    y AS (SELECT max(y) FILTER (t = 'click') AS a, max(y) FILTER (t = 'error') AS b, max(y) FILTER (t = 'purchase') AS c,
+                 max(y) FILTER (t = 'signup') AS d, max(y) FILTER (t = 'view') AS e FROM mt),
+    r AS (SELECT 'poly' AS coding, '(Intercept)' AS term, (a + b + c + d + e) / 5 AS v FROM y
+    UNION ALL SELECT 'poly', 'event_type.L', (-2 * a - b + d + 2 * e) / sqrt(10) FROM y
+    UNION ALL SELECT 'poly', 'event_type.Q', (2 * a - b - 2 * c - d + 2 * e) / sqrt(14) FROM y
+    UNION ALL SELECT 'poly', 'event_type.C', (-a + 2 * b - 2 * d + e) / sqrt(10) FROM y
+    UNION ALL SELECT 'poly', 'event_type^4', (a - 4 * b + 6 * c - 4 * d + e) / sqrt(70) FROM y
+    UNION ALL SELECT 'centered_treatment', '(Intercept)', (a + b + c + d + e) / 5 FROM y
+    UNION ALL SELECT 'centered_treatment', 'event_type[error]', b - a FROM y
+    UNION ALL SELECT 'centered_treatment', 'event_type[purchase]', c - a FROM y
+    UNION ALL SELECT 'centered_treatment', 'event_type[signup]', d - a FROM y
+    UNION ALL SELECT 'centered_treatment', 'event_type[view]', e - a FROM y)
+    SELECT coding, term, round(v, 4) AS estimate FROM r
+    """,
+)
+def lmm_codings(spark, d):
+    """Coefficients under orthogonal polynomials and centred treatment contrasts."""
+    out = None
+    for coding in ("poly", "centered_treatment"):
+        part = fit_lmm(cell_means(spark, d), by_type(coding)).coefficients(spark)
+        part = part.select(F.lit(coding).alias("coding"), "term", F.round("estimate", 4).alias("estimate"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "lmm_summary",
+    "WITH "
+    + TILTED_SQL
+    + """,
+    v AS (SELECT ni, nj, ni * nj AS n, ni * nj * (1 + ln(2 * pi())) + ni * ln(ssa / ni) + ni * (nj - 1) * ln(sse / (ni * (nj - 1))) AS dev FROM w)
+    SELECT round(-dev / 2, 4) AS log_lik, round(dev, 4) AS deviance, round(dev + 14, 4) AS aic, 7 AS parameters,
+           n::BIGINT AS n_rows, ni::BIGINT AS n_units, false AS reml, false AS singular, true AS converged FROM v
+    """,
+)
+def lmm_summary(spark, d):
+    fit = fit_lmm(tilted_means(spark, d), by_type(), reml=False)
+    out = fit.summary(spark)
+    return out.withColumns({c: F.round(c, 4) for c in ("log_lik", "deviance", "aic")})
+
+
+@query(
+    "lmm_methods",
+    "WITH "
+    + TILTED_SQL
+    + """,
+    z AS (SELECT 'user_id' AS grouping, round((msa - mse) / nj, 3) AS covariance FROM w UNION ALL SELECT 'Residual', round(mse, 3) FROM w)
+    SELECT method, grouping, covariance FROM z, (VALUES ('newton'), ('quasi-newton')) m(method)
+    """,
+)
+def lmm_methods(spark, d):
+    """Both ways to the minimum give the same variances."""
+    cells, out = tilted_means(spark, d), None
+    for method in ("newton", "quasi-newton"):
+        part = fit_lmm(cells, by_type(), method=method).variance_components(spark)
+        part = part.select(F.lit(method).alias("method"), "grouping", F.round("covariance", 3).alias("covariance"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "glm_logit_table",
+    "WITH "
+    + LOGIT_SQL
+    + """,
+    r AS (SELECT '(Intercept)' AS term, l00 AS b, sqrt(v00) AS se FROM w
+          UNION ALL SELECT 'syntax[passive]', l10 - l00, sqrt(v10 + v00) FROM w
+          UNION ALL SELECT 'parity[odd]', l01 - l00, sqrt(v01 + v00) FROM w
+          UNION ALL SELECT 'syntax[passive]:parity[odd]', l11 - l10 - l01 + l00, sqrt(vall) FROM w)
+    SELECT term, round(b / se, 4) AS statistic, round(b - 1.959963984540054 * se, 5) AS low,
+           round(b + 1.959963984540054 * se, 5) AS high FROM r
+    """,
+)
+def glm_logit_table(spark, d):
+    """Test statistics and intervals of a saturated logit."""
+    out = fit_glm(logit_rows(spark, d), Model("y", LOGIT_FACTORS, LOGIT_TERMS)).coefficients(spark)
+    return out.select("term", F.round("statistic", 4).alias("statistic"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))

@@ -41,7 +41,6 @@ from ..functions import (
 )
 from ..operators import bootstrap, derive, exclude, order, quantiles, summarise
 from ..operators.units import (
-    BROADCAST_UNITS,
     lookup_join,
     natural_left_join,
     profile_units,
@@ -1413,12 +1412,7 @@ def sales(spark, d) -> DataFrame:
     stored = table(spark, d, "lineitem")
     lines = stored.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
     lines = lookup_join(lines, orders, ["l_orderkey"], "inner", size["orders"])
-    by_supplier = None
-    if size["supplier"] > BROADCAST_UNITS:
-        by_supplier = profile_units(stored, ["l_suppkey"])
-    return lookup_join(
-        lines, actors, ["l_suppkey"], "inner", size["supplier"], by_supplier
-    ).withColumnRenamed("o_custkey", "c_custkey")
+    return lookup_join(lines, actors, ["l_suppkey"], "inner", size["supplier"]).withColumnRenamed("o_custkey", "c_custkey")
 
 
 @query(

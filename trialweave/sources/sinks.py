@@ -12,16 +12,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).options(header="true", escape='"').csv(path)
 
 
-def write_numbered_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """CSV with a leading row id. Ids are unique and increasing per file, not consecutive."""
-    numbered = df.select(F.monotonically_increasing_id().alias("_row"), *df.columns)
-    write_csv(numbered, path, mode)
+def write_numbered_csv(df: DataFrame, path: str, order: Sequence[str], mode: str = "error") -> None:
+    """CSV with a leading row number: 1, 2, ... in the order of the columns ``order``."""
+    from ..operators.order import number_rows
+
+    numbered = number_rows(df, order, "_row", start=1)
+    write_csv(numbered.select("_row", *df.columns), path, mode)
 
 
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error"
 ) -> None:
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Parquet. With partitions, ``overwrite`` replaces only those that the table has rows of."""
+    writer = df.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def pseudonymise(
