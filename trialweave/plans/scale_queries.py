@@ -11,6 +11,8 @@ from ..operators.units import profile_units, unit_join
 from ..sources import read_intermediate, read_log, read_lookup, write_csv, write_numbered_csv, write_table
 from ..sources.logs import read_mixed
 from ..sources.work import scratch_path
+from . import production
+from .production import VALENCE_FIRST, ProductionStudy
 from .table_queries import USER, query, rounded, table
 
 POISSON_SQL = """
@@ -337,3 +339,110 @@ def contingency_exact(spark, d):
     return cells.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(F.col("n") == 0).alias("empty"), F.sum("n").alias("n")
     )
+
+
+# fixed values of the derived log: people on the pictures, and the verbs by number
+PEOPLE = (("ann", "woman", "white"), ("bob", "man", "white"), ("eve", "woman", "black"), ("jim", "man", "black"))
+VERBS = tuple(VALENCE_FIRST)
+STUDY = ProductionStudy("study1", valence=VALENCE_FIRST, bad_limit=14, share_bounds=(0.1, 0.6))
+
+CLEAN_SQL = """
+    p AS (SELECT * FROM (VALUES {people}) p(i, name, gender, race)),
+    raw AS (SELECT user_id, event_id, event_type, value, json_extract_string(props, '$.k')::INT AS k FROM events),
+    t AS (SELECT r.user_id, event_id, value, list_value({verbs})[k % 10 + 1] AS event,
+                 CASE WHEN k % 3 = 1 THEN 'conjoined' ELSE 'transitive' END AS syntax,
+                 l.name AS l, q.name AS r, l.gender AS lg, q.gender AS rg, o.gender AS pg, o.race AS pr,
+                 CASE WHEN r.user_id = 7 OR event_id % 2 = 0 THEN l.name ELSE q.name END
+                 || CASE WHEN event_type = 'error' THEN ' waves'
+                         WHEN event_type = 'view' AND event_id % 3 = 0 THEN ' hugging ' ELSE ' is hugging ' END
+                 || CASE WHEN event_type = 'error' THEN ''
+                         WHEN r.user_id = 7 OR event_id % 2 = 0 THEN q.name ELSE l.name END AS said
+          FROM raw r JOIN p l ON l.i = k % 10 % 4 JOIN p q ON q.i = (k % 10 + k % 3 + 1) % 4 JOIN p o ON o.i = r.user_id % 4),
+    m AS (SELECT *, contains(said, l) AND contains(said, r) AS named,
+                 CASE WHEN contains(said, l) AND contains(said, r)
+                      THEN CASE WHEN instr(said, l) < instr(said, r) THEN 'left' ELSE 'right' END END AS first,
+                 (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 80 + 1 AS trial_number FROM t),
+    x AS (SELECT *, NOT (named AND contains(said, 'is')) AS bad FROM m),
+    out1 AS (SELECT DISTINCT user_id FROM (SELECT user_id, syntax, count(*) AS n FROM x WHERE bad GROUP BY 1, 2) WHERE n > 14),
+    out2 AS (SELECT user_id FROM (SELECT user_id, greatest(avg(coalesce(first = 'left', false)::INT), avg(coalesce(first = 'right', false)::INT)) AS s
+                                  FROM x GROUP BY 1) WHERE NOT (s BETWEEN 0.1 AND 0.6)),
+    kept AS (SELECT * FROM x WHERE NOT bad AND user_id NOT IN (FROM out1) AND user_id NOT IN (FROM out2)),
+    lim AS (SELECT user_id, avg(value) + 3 * stddev_samp(value) AS top FROM kept GROUP BY 1),
+    clean AS (SELECT kept.*, CASE first WHEN 'left' THEN lg ELSE rg END AS fg FROM kept JOIN lim USING (user_id)
+              WHERE NOT coalesce(value > top, false))
+""".format(
+    people=", ".join(f"({i}, '{n}', '{g}', '{r}')" for i, (n, g, r) in enumerate(PEOPLE)),
+    verbs=", ".join(f"'{v}'" for v in VERBS),
+)
+VALENCE_SQL = "CASE event " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in VALENCE_FIRST.items()) + " END"
+
+
+def derived_log(spark, d):
+    """A raw log of picture descriptions made of the events, and its stimulus table, in the raters' format."""
+    from .table_queries import with_k
+
+    e = with_k(table(spark, d, "events"))
+    who = lambda i, c: F.array(*[F.lit(p[c]) for p in PEOPLE])[i.cast("int")]
+    k = F.col("k")
+    left, right, own = k % 10 % 4, (k % 10 + k % 3 + 1) % 4, F.col("user_id") % 4
+    verb = F.concat(F.array(*[F.lit(v) for v in VERBS])[(k % 10).cast("int")], (k % 3).cast("string"))
+    side = F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")
+    stimuli = e.select(
+        verb.alias("verb"), F.concat(F.lit("List"), side).alias("list"), who(left, 0).alias("left"), who(right, 0).alias("right"),
+        who(left, 1).alias("left_gender"), who(left, 2).alias("left_race"), who(right, 1).alias("right_gender"),
+        who(right, 2).alias("right_race"), F.when(k % 3 == 1, "intransitive").otherwise("transitive").alias("syntax"),
+        F.lit("is").alias("auxiliary"),
+    ).distinct()
+    left_first = (F.col("user_id") == 7) | (F.col("event_id") % 2 == 0)
+    one, two = F.when(left_first, who(left, 0)).otherwise(who(right, 0)), F.when(left_first, who(right, 0)).otherwise(who(left, 0))
+    silent = (F.col("event_type") == "view") & (F.col("event_id") % 3 == 0)
+    said = F.when(F.col("event_type") == "error", F.concat(one, F.lit(" waves"))).otherwise(
+        F.concat(one, F.when(silent, " hugging ").otherwise(" is hugging "), two)
+    )
+    log = e.select(
+        F.col("user_id").cast("string").alias("subject"), F.col("event_id").cast("string").alias("trial_index"),
+        F.col("value").cast("string").alias("rt"), F.lit("survey-text").alias("trial_type"), F.lit("describe").alias("test_part"),
+        F.concat(F.lit("LIST"), side).alias("list"), F.concat(F.lit('{"Q0":"'), F.initcap(said), F.lit('"}')).alias("responses"),
+        F.concat(F.lit('<img src="stim_list'), side, F.lit("/"), verb, F.lit('.gif"</stim_list'), side, F.lit(">")).alias("image_type"),
+        who(own, 1).alias("ppt_gender"), who(own, 2).alias("ppt_race"),
+    )
+    return log, stimuli
+
+
+@query(
+    "clean_log",
+    "WITH " + CLEAN_SQL + f"""
+    SELECT user_id::VARCHAR AS subject, event_id AS trial_index, trial_number, syntax, event, {VALENCE_SQL} AS valence,
+           CASE pg WHEN 'man' THEN CASE pr WHEN 'white' THEN 'White_Man' ELSE 'Black_Man' END
+                   ELSE CASE pr WHEN 'white' THEN 'White_Woman' ELSE 'Black_Woman' END END AS ppt_demog,
+           first AS first_person, (fg = 'man')::INT AS man_first, value AS rt
+    FROM clean
+    """,
+)
+def clean_log(spark, d):
+    """The whole cleaning of a production study: extraction, first mention, validity, recoding, trial numbers,
+    participants with too many bad trials or one-sided descriptions, and the time limit."""
+    log, stimuli = derived_log(spark, d)
+    clean = production.clean_log(log, stimuli, STUDY)
+    return clean.select(
+        "subject", "trial_index", "trial_number", "syntax", "event", "valence", "ppt_demog", "first_person", "man_first", "rt"
+    )
+
+
+@query(
+    "construction_shares",
+    "WITH " + CLEAN_SQL + """,
+    o AS (SELECT user_id, syntax, CASE WHEN lg = rg THEN NULL ELSE (fg = pg)::INT END AS like_me FROM clean),
+    u AS (SELECT user_id, syntax, 100 * avg(like_me) AS v FROM o GROUP BY 1, 2)
+    SELECT syntax, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, count(*) AS n FROM u GROUP BY 1
+    """,
+)
+def construction_shares(spark, d):
+    """The cleaned log carried on to the share of descriptions that begin with someone of the own gender, per
+    construction: means of participant percentages over trials with two genders."""
+    log, stimuli = derived_log(spark, d)
+    trials = derive.like_me(derive.trial_types(production.clean_log(log, stimuli, STUDY)))
+    trials = trials.withColumn("like_me", F.when(F.col("TrialType") == "GenderTrial", 100 * F.col("OverallLikeMe")))
+    units = summarise.stage_means(trials, [["subject", "syntax"]], "like_me")
+    out = units.groupBy("syntax").agg(F.avg("like_me").alias("mean"), F.stddev_samp("like_me").alias("sd"), F.count(F.lit(1)).alias("n"))
+    return rounded(out, "mean", "sd")
