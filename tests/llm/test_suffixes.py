@@ -49,6 +49,8 @@ def test_shared_passages(spark, seed, letters):
 def test_hot_anchors_and_small_runs(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_SLICES", 1)
     monkeypatch.setattr(suffix_dedup, "RUN", 50)
+    monkeypatch.setattr(suffix_dedup, "PACKED_ANCHORS", 40)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
     data = made(8, "abcdef", 300)
     check(spark.createDataFrame(data, "doc_id long, text string").repartition(8))
 
@@ -68,10 +70,10 @@ def suffixes(seed, n):
     rng = np.random.default_rng(seed)
     data = rng.choice(np.array([0, 1, 97, 255], np.uint8), n)
     low = rng.integers(0, 10, n).astype(np.uint8)
-    high = (low + rng.integers(0, 14, n)).astype(np.uint8)
+    high = (low + rng.integers(0, 20, n)).astype(np.uint8)
     j = np.arange(50)
     right = np.where(j < (50 - low)[:, None], data[(np.arange(n)[:, None] + j) % n], 0).astype(np.uint8)
-    left = np.where(np.arange(24) < high[:, None], data[(np.arange(n)[:, None] - 1 - np.arange(24)) % n], 0).astype(np.uint8)
+    left = np.where(np.arange(suffix_dedup.OFFSETS - 1) < high[:, None], data[(np.arange(n)[:, None] - 1 - np.arange(suffix_dedup.OFFSETS - 1)) % n], 0).astype(np.uint8)
     ids = rng.integers(-5, 5, n)
     return suffix_dedup.Suffixes(right, left, low, high, ids, ids * 3, np.arange(n, dtype=np.int32))
 

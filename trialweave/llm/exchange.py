@@ -81,6 +81,16 @@ def unpack(batches: Iterator[pa.RecordBatch], types: Sequence) -> list[np.ndarra
     return [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(out, types)]
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, with the size in front; for what travels better than the shuffle's own codec makes it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def dealt(packed: DataFrame, n: int) -> DataFrame:
     return packed.repartition(n, "bucket")
 

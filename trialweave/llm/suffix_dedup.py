@@ -4,7 +4,7 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts in a document
 doc_id. Strings are judged on the input, overlaps count, and matches never cross documents.
 
 *Suffixes.* Each string has one anchor, its leftmost least-hashed ``ANCHOR``-gram, so equal strings have
-it at the same offset. Only suffixes that start at anchors are sorted, about one in thirteen; each carries the bytes left of
+it at the same offset. Only suffixes that start at anchors are sorted, about one in sixteen; each carries the bytes left of
 it that its strings need.
 *Distinguishing prefixes.* As in published string sorters, hashes of the anchors are exchanged first. A suffix whose anchor
 no other document holds differs from all others within its first ``ANCHOR`` bytes; it needs no exchange.
@@ -27,6 +27,7 @@ bytes, each is judged on its own. Empty tables give no rows. Other columns are n
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_KEYS, Texts, longs_of, mix, powers, ranges, slices, texts_of
-from .exchange import PACKED, bitmap, groups_of, in_bitmap, pack, partitions, stored, unpack
+from .exchange import PACKED, bitmap, groups_of, in_bitmap, pack, partitions, squeezed, stored, unpack, unsqueezed
 
 LENGTH = 50
-ANCHOR = 26
+ANCHOR = 20
 OFFSETS = LENGTH - ANCHOR + 1  # of an anchor in a string
-HOT_SLICES = 32
-RUN = 1 << 18  # suffixes that a task sorts at once
-SAMPLED = 16  # anchors of a slice that take part in choosing the splitters
+HOT_SLICES = 256  # packed groups of texts that hold an anchor; a group has at most PACKED_ANCHORS of them
+SLICE = 1 << 18  # bytes whose anchors are sought at once
+PACKED_ANCHORS = 1 << 18  # anchors that a task packs at once
+RUN = 1 << 17  # suffixes that a task sorts at once
+SAMPLED = 64  # anchors of a packed group that take part in choosing the splitters
 SPLIT_SAMPLE = 1 << 15
 NULL_ID = -(2**63)
 KNOWN, SAMPLE = -1, -2  # buckets of rows that need no exchange
@@ -54,45 +57,49 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(n), powers(n, pow(base, -1, 1 << 64))
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive bytes, from running sums."""
-    n = len(data) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(22, len(data).bit_length()))
+def gram_sums(data: np.ndarray) -> np.ndarray:
+    """A number for each ANCHOR consecutive bytes, from running sums."""
+    n = len(data) - ANCHOR + 1
+    up, down = _powers(1 << max(18, len(data).bit_length()))
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=run[1:])
-    return mix((run[k:] - run[:-k]) * down[:n])
+    sums = run[ANCHOR:] - run[:-ANCHOR]
+    sums *= down[:n]
+    return sums
+
+
+def gram_hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the ANCHOR bytes at these places."""
+    return mix((BYTE_KEYS[data[at[:, None] + np.arange(ANCHOR)]] * _powers(1 << 18)[0][:ANCHOR]).sum(1, dtype=np.uint64))
 
 
 def anchors_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owner, place in the text, least and greatest offset in the strings anchored here, and hash."""
     data, at = texts.data, texts.at
-    grams = gram_hashes(data, ANCHOR)
     n = len(data) - LENGTH + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
-    keys = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+    sums = gram_sums(data)
+    keys = sums * np.uint64(0x9E3779B97F4A7C15)
+    keys &= np.uint64(0xFFFFFFFF00000000)
+    keys |= np.arange(len(keys), dtype=np.uint64)
     width = 1
     while 2 * width <= OFFSETS:
         keys = np.minimum(keys[:-width], keys[width:])
         width *= 2
     if width < OFFSETS:
         keys = np.minimum(keys[: len(keys) - (OFFSETS - width)], keys[OFFSETS - width :])
-    whole = np.zeros(n + 1, np.int64)  # strings that lie in one text
-    lengths = np.diff(at)
-    fits = lengths >= LENGTH
-    np.add.at(whole, at[:-1][fits], 1)
-    np.add.at(whole, at[1:][fits] - LENGTH + 1, -1)
-    start = np.flatnonzero(np.cumsum(whole[:-1]))
+    whole = np.zeros(n + 1, np.int8)  # 1 from where strings of a text start on, -1 behind
+    fits = np.diff(at) >= LENGTH
+    whole[at[:-1][fits]] += 1
+    whole[at[1:][fits] - LENGTH + 1] -= 1
+    start = np.flatnonzero(np.cumsum(whole[:-1], dtype=np.int8))
     place = (keys[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.searchsorted(at, start, "right") - 1
-    s, e = groups_of(place)
-    same = np.flatnonzero(owner[s] != owner[e - 1])
-    assert not len(same)  # a place lies in one text
-    place, owner = place[s], owner[s]
-    return owner, place - at[owner], place - start[e - 1], place - start[s], grams[place]
+    s, e = groups_of(place)  # a place lies in one text
+    place, first, last = place[s], start[s], start[e - 1]
+    owner = np.searchsorted(at, place, "right") - 1
+    return owner, place - at[owner], place - last, place - first, mix(sums[place])
 
 
 def _own(documents: DataFrame) -> DataFrame:
@@ -102,87 +109,173 @@ def _own(documents: DataFrame) -> DataFrame:
     return documents.select(doc.alias("doc"), F.xxhash64(doc, text).alias("row"), text.alias("text"))
 
 
-PLACES = "doc long, row long, place int, mask int, hot long, sample binary"
-
-
-def _rows(doc, row, place, mask=None, hot=None, sample=None) -> pa.RecordBatch:
-    n = len(place) if place is not None else len(hot if hot is not None else sample)
-    given = zip((doc, row, place, mask, hot, sample), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))
-    arrays = [pa.nulls(n, t) if v is None else v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in given]
-    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PLACES.split(", ")])
-
-
 def _dealt(packed: DataFrame, n: int) -> DataFrame:
     """Rows of one bucket together, in order; those that need no exchange anywhere."""
     bucket = F.col("bucket")
     return packed.repartition(n, F.when(bucket >= 0, bucket).otherwise(-1 - F.pmod(F.hash("packed"), F.lit(n)))).sortWithinPartitions("bucket")
 
 
-def shared_anchors(texts: DataFrame, n: int) -> DataFrame:
-    """Places of anchors that several documents hold, hashes of those of very many slices, a sample of all."""
+def _packed(buckets: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """As ``pack``, compressed."""
+    batch = pack(buckets, arrays)
+    blobs = [squeezed(x) for x in batch.column("packed").to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(blobs, pa.binary())], ["bucket", "packed"])
+
+
+def _unpacked(blob: bytes, types: list[str]) -> list[np.ndarray]:
+    return unpack(iter([pa.RecordBatch.from_pydict({"packed": [unsqueezed(blob)]})]), types)
+
+
+def _ids(batch: pa.RecordBatch, repeated) -> np.ndarray:
+    """A row's id: its doc_id, or, where that is repeated or null, the hash of doc_id and text."""
+    doc = longs_of(batch.column("doc"))
+    return np.where(in_bitmap(repeated.value, doc), longs_of(batch.column("row")), doc)
+
+
+def _texts(column: pa.Array) -> Texts:
+    """Texts that travelled compressed."""
+    texts = [unsqueezed(x) for x in column.to_pylist()]
+    return Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+
+def _told(doc: np.ndarray, row: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Rows of equal (doc, row) as one, with the parts' bytes one after the other."""
+    order = np.lexsort((parts[0], row, doc))
+    doc, row, parts = doc[order], row[order], [p[order] for p in parts]
+    s = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])]) if len(row) else np.zeros(0, np.int64)
+    e = np.r_[s[1:], len(row)]
+    return doc[s], row[s], [b"".join(p[a:b].tobytes() for p in parts) for a, b in zip(s, e)]
+
+
+def _untold(blobs: list[bytes], types: list[str]) -> list[np.ndarray]:
+    """The parts of blobs that ``_told`` made, joined."""
+    width = sum(np.dtype(t).itemsize for t in types)
+    out: list[list[np.ndarray]] = [[] for _ in types]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for k, t in enumerate(types):
+            out[k].append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(out, types)]
+
+
+ANCHORS = "id long, found binary, hot long, sample binary"
+FOUND = ["i4", "u1", "u1"]  # place, least and greatest offset
+
+
+def _anchor_rows(ids=None, found=None, hot=None, sample=None) -> pa.RecordBatch:
+    given = ((ids, pa.int64()), (found, pa.binary()), (hot, pa.int64()), (sample, pa.binary()))
+    n = next(len(v) for v, _ in given if v is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in given], ["id", "found", "hot", "sample"])
+
+
+def _anchor_id(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket, and 40 bits of the rest; together they name an anchor well enough to propose it."""
+    return (key % np.uint64(buckets)).astype(np.int64), (key // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
+
+
+def _anchor_number(bucket, name):
+    return name | np.asarray(bucket, np.uint64) << np.uint64(40)
+
+
+def shared_anchors(texts: DataFrame, n: int, live: Callable, repeated) -> DataFrame:
+    """Anchors that several texts hold, by text; ids of those in very many groups of texts; a sample of all.
+
+    ``live`` drops rows of a batch in the same Python worker.
+    """
     buckets = 4 * n
-    types = ["u8", "i8", "i8", "i4"]
+    types = ["V5", "i8", "i4", "u1", "u1"]
 
     def send(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
+        held: list[tuple] = []
+
+        def flush():
+            row, place, low, high, key = (np.concatenate(c) for c in zip(*(h[:5] for h in held)))
+            order = np.argsort(key)
+            s, e = groups_of(key[order])
+            own = row[order]
+            several = np.zeros(len(key), bool)
+            several[order] = np.repeat(np.minimum.reduceat(own, s) != np.maximum.reduceat(own, s), e - s)
+            sent = ~several
+            sent[order[s]] = True  # one tells the others
+            bucket, name = _anchor_id(key, buckets)
+            name = np.ascontiguousarray(name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").reshape(-1)
+            carried = [name, row, place, low, high]
+            yield _packed(bucket[sent], [c[sent] for c in carried])
+            if several.any():
+                yield _packed(np.full(int(several.sum()), KNOWN), [c[several] for c in carried])
+            sample = [x.tobytes() for h in held for x in h[5]]
+            yield pa.RecordBatch.from_arrays([pa.array([SAMPLE] * len(sample), pa.int32()), pa.array(sample, pa.binary())], ["bucket", "packed"])
+            held.clear()
+
+        for batch in live(batches):
+            for part in slices(batch, "text", SLICE):
                 own = texts_of(part.column("text"))
-                doc, row = longs_of(part.column("doc")), longs_of(part.column("row"))
-                owner, place, _, _, key = anchors_of(own)
-                if not len(key):
-                    continue
-                order = np.lexsort((doc[owner], key))
-                owner, place, key = owner[order], place[order].astype(np.int32), key[order]
-                doc, row = doc[owner], row[owner]
-                s, e = groups_of(key)
-                several = np.repeat(doc[s] != doc[e - 1], e - s)
-                sent = ~several
-                sent[s] = True
-                yield pack((key[sent] % np.uint64(buckets)).astype(np.int64), [key[sent], doc[sent], row[sent], place[sent]])
-                if several.any():
-                    yield pack(np.full(int(several.sum()), KNOWN), [v[several] for v in (key, doc, row, place)])
-                least = s[np.argsort(key[s] * np.uint64(0x9E3779B97F4A7C15))[:SAMPLED]]
-                at = own.at[owner[least]] + place[least]
-                strings = own.data[at[:, None] + np.arange(ANCHOR)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), SAMPLE, np.int32)), pa.array([x.tobytes() for x in strings], pa.binary())], ["bucket", "packed"]
-                )
+                owner, place, low, high, key = anchors_of(own)
+                if len(key):
+                    least = np.argsort(key)[:SAMPLED]
+                    strings = own.data[(own.at[owner[least]] + place[least])[:, None] + np.arange(ANCHOR)]
+                    row = _ids(part, repeated)[owner]
+                    held.append((row, place.astype(np.int32), low.astype(np.uint8), high.astype(np.uint8), key, strings[:: max(1, len(held))]))
+                if sum(len(h[0]) for h in held) >= PACKED_ANCHORS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     def meet(batches):
-        parts: list[pa.RecordBatch] = []
+        parts, known = [], []
         for batch in batches:
             bucket = np.asarray(batch.column("bucket"))
             sample = batch.filter(pa.array(bucket == SAMPLE)).column("packed")
             if len(sample):
-                yield _rows(None, None, None, sample=sample)
-            known = batch.filter(pa.array(bucket == KNOWN))
-            for one in (known.slice(i, 1) for i in range(known.num_rows)):
-                yield _rows(*unpack(iter([one]), types)[1:])
-            parts.append(batch.filter(pa.array(bucket >= 0)))
-        key, doc, row, place = unpack(iter(parts), types)
-        order = np.lexsort((doc, key))
-        key, doc, row, place = key[order], doc[order], row[order], place[order]
-        s, e = groups_of(key)
-        if len(s):
-            several = np.repeat(doc[s] != doc[e - 1], e - s)
-            order = np.lexsort((place[several], row[several], doc[several]))
-            yield _rows(*(v[several][order] for v in (doc, row, place)))
+                yield _anchor_rows(sample=sample)
+            known += [_unpacked(x, types)[1:] for x in batch.filter(pa.array(bucket == KNOWN)).column("packed").to_pylist()]
+            rest = batch.filter(pa.array(bucket >= 0))
+            for number, blob in zip(rest.column("bucket").to_pylist(), rest.column("packed").to_pylist()):
+                name, *carried = _unpacked(blob, types)
+                key = np.zeros((len(name), 8), np.uint8)
+                key[:, :5] = np.ascontiguousarray(name).view(np.uint8).reshape(-1, 5)
+                parts.append((_anchor_number(number, key.view("<u8").reshape(-1)), *carried))
+        nothing = [np.zeros(0, t) for t in types[1:]]
+        found = [np.concatenate(c) for c in zip(nothing, *known)]
+        if parts:
+            key, *carried = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(key)
+            key, own = key[order], carried[0][order]
+            s, e = groups_of(key)
+            on = order[np.repeat(np.minimum.reduceat(own, s) != np.maximum.reduceat(own, s), e - s)]
+            found = [np.concatenate([f, c[on]]) for f, c in zip(found, carried)]
             hot = key[s[e - s > HOT_SLICES]]
             if len(hot):
-                yield _rows(None, None, None, hot=hot.view(np.int64))
+                yield _anchor_rows(hot=hot.view(np.int64))
+        row, *carried = found
+        _, row, blobs = _told(np.zeros(len(row), np.int64), row, carried)
+        for at in range(0, len(row), 1 << 14):
+            yield _anchor_rows(ids=row[at : at + (1 << 14)], found=blobs[at : at + (1 << 14)])
 
-    return _dealt(texts.mapInArrow(send, PACKED), n).mapInArrow(meet, PLACES)
+    return _dealt(texts.mapInArrow(send, PACKED), n).mapInArrow(meet, ANCHORS)
 
 
-def _with_places(texts: DataFrame, places: DataFrame, bits, what: str) -> DataFrame:
-    """Texts in the bitmap with the list of their places, null where there is none; others aren't shuffled."""
+def _with_blobs(texts: DataFrame, told: DataFrame, bits, on: list[str], repeated) -> DataFrame:
+    """(doc, row, id, text, found): compressed texts in the bitmap with all that was told about them, null where nothing was.
+
+    Others aren't shuffled.
+    """
 
     def may_have(batches):
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits.value, longs_of(batch.column("row")))))
+            batch = batch.filter(pa.array(in_bitmap(bits.value, _ids(batch, repeated))))
+            for part in slices(batch, "text"):
+                own = texts_of(part.column("text"))
+                blobs = [squeezed(own.part(t)) for t in range(len(own))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), part.column("row"), pa.array(_ids(part, repeated)), pa.array(blobs, pa.binary())],
+                    ["doc", "row", "id", "text"],
+                )
 
-    lists = places.groupBy("doc", "row").agg(F.collect_list(what).alias("places"))
-    return texts.mapInArrow(may_have, texts.schema).join(lists.hint("shuffle_hash"), ["doc", "row"], "left")
+    lists = told.groupBy(*on).agg(F.collect_list("found").alias("found"))
+    found = texts.mapInArrow(may_have, "doc long, row long, id long, text binary")
+    return found.join(lists.hint("shuffle_hash"), on, "left")
 
 
 class Suffixes:
@@ -210,13 +303,13 @@ class Suffixes:
         return (np.int64(2) << self.high.astype(np.int64)) - (np.int64(1) << self.low.astype(np.int64))
 
 
-def suffixes_of(texts: Texts, doc: np.ndarray, row: np.ndarray, asked: list, hot: np.ndarray) -> Suffixes:
-    """Suffixes at the asked places of the texts; hot anchors give one for each of their strings."""
-    owner, place, low, high, key = anchors_of(texts)
-    known = np.concatenate([np.zeros(0, np.int64), *(np.array(x or [], np.int64) + (t << 40) for t, x in enumerate(asked))])
-    on = np.isin(place + (owner << 40), known)
-    owner, place, low, high, key = (v[on] for v in (owner, place, low, high, key))
-    often = in_bitmap(hot, key.view(np.int64))
+def suffixes_of(texts: Texts, doc: np.ndarray, row: np.ndarray, found: list, hot: np.ndarray, buckets: int) -> Suffixes:
+    """Suffixes at the anchors found in the texts; hot ones give one for each of their strings."""
+    parts = [_untold(x or [], FOUND) for x in found]
+    owner = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
+    place, low, high = (np.concatenate(c).astype(np.int64) for c in zip(*parts))
+    bucket, name = _anchor_id(gram_hashes_at(texts.data, texts.at[owner] + place), buckets)
+    often = in_bitmap(hot, _anchor_number(bucket.astype(np.uint64), name).view(np.int64))
     count = np.where(often, high - low + 1, 1)
     offset = ranges(np.where(often, low, 0), count)  # back from the anchor
     owner, place, low, high, often = (np.repeat(v, count) for v in (owner, place, low, high, often))
@@ -261,12 +354,13 @@ def front_coded(run: Suffixes) -> bytes:
     rest = run.right[(j >= shared[:, None]) & (j < LENGTH - run.low[:, None])]
     left = run.left[np.arange(OFFSETS - 1) < run.high[:, None]]
     head = np.array([len(run), len(rest), len(left)], np.int64)
-    parts = (head, shared, run.low, run.high, rest, left, run.doc, run.row, run.place)
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+    parts = (head, shared, run.low, run.high, rest, left, run.doc, run.row ^ run.doc, run.place)
+    return squeezed(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
 
 
 def decoded(blob: bytes) -> tuple[Suffixes, np.ndarray]:
     """The piece, and the shared lengths."""
+    blob = unsqueezed(blob)
     n, n_rest, n_left = np.frombuffer(blob, np.int64, 3)
     at = 24
 
@@ -286,7 +380,7 @@ def decoded(blob: bytes) -> tuple[Suffixes, np.ndarray]:
     right = np.take_along_axis(right, np.maximum.accumulate(source, axis=0), axis=0)
     lefts = np.zeros((n, OFFSETS - 1), np.uint8)
     lefts[np.arange(OFFSETS - 1) < high[:, None]] = left
-    return Suffixes(right, lefts, low, high, doc, row, place), shared.astype(np.int64)
+    return Suffixes(right, lefts, low, high, doc, row ^ doc, place), shared.astype(np.int64)
 
 
 def merged(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
@@ -375,11 +469,15 @@ def repeated_strings(suffixes: Suffixes, shared: np.ndarray) -> np.ndarray:
     return masks
 
 
-def repeated_starts(texts: DataFrame, anchors: DataFrame, bits, hot, n: int) -> DataFrame:
-    """(doc, row, place, mask): of suffixes that hold strings of smaller documents."""
+STARTS = "doc long, id long, found binary"
+MARKED = ["i4", "i4"]  # place and mask
+
+
+def repeated_starts(texts: DataFrame, anchors: DataFrame, bits, hot, repeated, n: int) -> DataFrame:
+    """(doc, id, found): places and masks of suffixes that hold strings of smaller documents."""
     sample = anchors.where("sample is not null").select("sample").orderBy(F.xxhash64("sample"), "sample").limit(SPLIT_SAMPLE)
     strings = np.unique(np.array(sample.toArrow().column("sample").to_pylist(), f"S{ANCHOR}"))
-    cuts = strings[np.linspace(0, len(strings), n + 1).astype(int)[1:-1]] if len(strings) else strings
+    cuts = strings[np.linspace(0, len(strings), 4 * n + 1).astype(int)[1:-1]] if len(strings) else strings
     splitters = np.unique(cuts).astype(f"S{LENGTH}")
 
     def send(batches):
@@ -392,20 +490,21 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, bits, hot, n: int) ->
             pieces = [front_coded(run.take(slice(a, b))) for a, b in zip(s, e)]
             yield pa.RecordBatch.from_arrays([pa.array(to[s].astype(np.int32)), pa.array(pieces, pa.binary())], ["bucket", "packed"])
             if len(rest):
-                yield pack(np.full(len(rest), KNOWN), [rest.doc, rest.row, rest.place, rest.masks().astype(np.int32)])
+                rest = rest.take(np.lexsort((rest.place, rest.row)))
+                yield _packed(np.full(len(rest), KNOWN), [rest.doc, rest.row, rest.place, rest.masks().astype(np.int32)])
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                asked = part.column("places").to_pylist()
-                own = texts_of(part.column("text"))
-                held.append(suffixes_of(own, longs_of(part.column("doc")), longs_of(part.column("row")), asked, hot.value))
+            for part in slices(batch, "text", SLICE // 2):  # compressed
+                found = part.column("found").to_pylist()
+                own = _texts(part.column("text"))
+                held.append(suffixes_of(own, longs_of(part.column("doc")), longs_of(part.column("id")), found, hot.value, 4 * n))
                 if sum(map(len, held)) >= RUN:
                     yield from flush()
         if held:
             yield from flush()
 
-    def merge(blobs: list[bytes]) -> pa.RecordBatch:
+    def merge(blobs: list[bytes]) -> list[np.ndarray]:
         parts, shared = zip(*map(decoded, blobs))
         strings = []
         for part in parts:
@@ -416,38 +515,57 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, bits, hot, n: int) ->
         whole = Suffixes.joined(list(parts)).take(starts[np.array(run, np.int64)] + np.array(place, np.int64))
         masks = repeated_strings(whole, np.array(lengths, np.int64))
         on = np.flatnonzero(masks)
-        on = on[np.lexsort((whole.place[on], whole.row[on], whole.doc[on]))]
-        return _rows(whole.doc[on], whole.row[on], whole.place[on], masks[on].astype(np.int32))
+        return [whole.doc[on], whole.row[on], whole.place[on], masks[on].astype(np.int32)]
 
     def meet(batches):
         bucket, blobs = None, []
+        marks = [[np.zeros(0, t)] for t in ("i8", "i8", "i4", "i4")]
+
+        def keep(found):
+            for list_, part in zip(marks, found):
+                list_.append(part)
+
         for batch in batches:
             for own, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
                 if own == KNOWN:
-                    yield _rows(*unpack(iter([pa.RecordBatch.from_pydict({"packed": [blob]})]), ["i8", "i8", "i4", "i4"]))
+                    keep(_unpacked(blob, ["i8", "i8", "i4", "i4"]))
                     continue
                 if own != bucket and blobs:
-                    yield merge(blobs)
+                    keep(merge(blobs))
                     blobs = []
                 bucket = own
                 blobs.append(blob)
         if blobs:
-            yield merge(blobs)
-
-    near = _with_places(texts, anchors.where("place is not null"), bits, "place").where("places is not null")
-    return _dealt(near.mapInArrow(send, PACKED), n).mapInArrow(meet, PLACES)
-
-
-def removed_bytes(size: int, found: list[dict] | None) -> np.ndarray:
+            keep(merge(blobs))
+        doc, ids, *carried = map(np.concatenate, marks)
+        order = np.lexsort((carried[0], ids))
+        to = (mix(ids[order].view(np.uint64)) % np.uint64(4 * n)).astype(np.int64)
+        yield _packed(to, [c[order] for c in (doc, ids, *carried)])
+
+    def gather(batches):
+        """A row per document: one per document and range would grow as their product."""
+        found = [_unpacked(x, ["i8", "i8", "i4", "i4"]) for batch in batches for x in batch.column("packed").to_pylist()]
+        if found:
+            doc, ids, *carried = (np.concatenate(c) for c in zip(*found))
+            doc, ids, told = _told(doc, ids, carried)
+            for at in range(0, len(ids), 1 << 14):
+                end = at + (1 << 14)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at:end]), pa.array(ids[at:end]), pa.array(told[at:end], pa.binary())], ["doc", "id", "found"])
+
+    near = _with_blobs(texts, anchors.where("id is not null").select("id", "found"), bits, ["id"], repeated).where("found is not null")
+    marked = _dealt(near.select("doc", "id", "text", "found").mapInArrow(send, PACKED), n).mapInArrow(meet, PACKED)
+    return marked.repartition(n, "bucket").mapInArrow(gather, STARTS)
+
+
+def removed_bytes(size: int, found: list[bytes] | None) -> np.ndarray:
     """Flags of the bytes covered by marked strings."""
     change = np.zeros(size + 1, np.int64)
     if found:
-        place = np.array([x["place"] for x in found], np.int64)
-        mask = np.array([x["mask"] for x in found], np.int64)
-        for o in range(OFFSETS):
-            start = place[mask >> o & 1 == 1] - o
-            np.add.at(change, start, 1)
-            np.add.at(change, start + LENGTH, -1)
+        place, mask = _untold(found, MARKED)
+        offset, at = np.nonzero(mask >> np.arange(OFFSETS)[:, None] & 1)
+        start = place[at] - offset
+        np.add.at(change, start, 1)
+        np.add.at(change, start + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -470,6 +588,8 @@ def suffix_dedup(documents: DataFrame, as_bytes: bool = False) -> DataFrame:
     n = partitions(documents)
     everything = _own(documents)
     rows, copies = _copies(everything)
+    counts = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    repeated = bitmap(counts.where((F.col("n") > 1) | (F.col("doc") == NULL_ID)), "doc")
     copied = bitmap(copies, "row")
 
     def marked(batches):
@@ -485,22 +605,21 @@ def suffix_dedup(documents: DataFrame, as_bytes: bool = False) -> DataFrame:
             row = longs_of(batch.column("row"))
             yield batch.filter(pa.array(~in_bitmap(copied.value, row) | in_bitmap(spared.value, row)))
 
-    texts = everything.mapInArrow(live, everything.schema)
-    anchors, _ = stored(shared_anchors(texts, n), "anchors")
+    anchors, _ = stored(shared_anchors(everything, n, live, repeated), "anchors")
     hot = bitmap(anchors.where("hot is not null"), "hot")
-    shared = bitmap(anchors.where("place is not null"), "row")
-    starts, _ = stored(repeated_starts(texts, anchors, shared, hot, n), "starts")
-    bits = bitmap(starts, "row")
+    shared = bitmap(anchors.where("id is not null"), "id")
+    starts, _ = stored(repeated_starts(everything, anchors, shared, hot, repeated, n), "starts")
+    bits = bitmap(starts, "id")
     last = "kept" if as_bytes else "kept_sha256"
     schema = f"doc long, row long, n_bytes long, n_removed long, n_spans long, {last} {'binary' if as_bytes else 'string'}"
 
     def finish(batches, judged: bool):
-        for batch in batches:
+        for batch in batches if judged else live(batches):
             if not judged:
-                batch = batch.filter(pa.array(~in_bitmap(bits.value, longs_of(batch.column("row")))))
+                batch = batch.filter(pa.array(~in_bitmap(bits.value, _ids(batch, repeated))))
             for part in slices(batch, "text"):
-                own = texts_of(part.column("text"))
-                found = part.column("places").to_pylist() if judged else [None] * len(own)
+                own = _texts(part.column("text")) if judged else texts_of(part.column("text"))
+                found = part.column("found").to_pylist() if judged else [None] * len(own)
                 removed, spans, kept = [], [], []
                 for t, places in enumerate(found):
                     text = own.data[own.at[t] : own.at[t + 1]]
@@ -517,8 +636,9 @@ def suffix_dedup(documents: DataFrame, as_bytes: bool = False) -> DataFrame:
                     [c.split()[0] for c in schema.split(", ")],
                 )
 
-    hit = _with_places(texts, starts.select("doc", "row", F.struct("place", "mask").alias("found")), bits, "found")
-    done = hit.mapInArrow(lambda b: finish(b, True), schema).unionByName(texts.mapInArrow(lambda b: finish(b, False), schema))
+    # copies that get here by a shared bit go with the last join
+    hit = _with_blobs(everything, starts, bits, ["doc", "id"], repeated).select("doc", "row", "text", "found")
+    done = hit.mapInArrow(lambda b: finish(b, True), schema).unionByName(everything.mapInArrow(lambda b: finish(b, False), schema))
     done = done.join(copies.select("doc", "row").distinct(), ["doc", "row"], "left_anti")
     nothing = F.lit(b"") if as_bytes else F.lit(hashlib.sha256(b"").hexdigest())
     whole = copies.select("doc", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), nothing.alias(last))
