@@ -20,7 +20,7 @@ and text. A message and a conversation each become one string, so both are folde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -51,19 +51,17 @@ def events_of(conversations: DataFrame, piece: int = 400) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         text.alias("text"),
     )
-    # rows of one turn are separate messages: the rank of (role, text) tells them apart
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / piece) - 1, F.lit(0)).cast("int"))
-    key = F.struct("turn", "role", F.sha2("text", 256).alias("digest"), "copy")
-    return rows.select("conv_id", key.alias("turn"), "role", "text", F.explode(at).alias("seq")).select(
-        "conv_id",
-        "turn",
-        "seq",
-        F.lit("delta").alias("op"),
-        "role",
-        F.substring(F.col("text"), F.col("seq") * piece + 1, F.lit(piece)).alias("payload"),
-    )
+    # rows of one turn are separate messages; a number inside the conversation tells equal ones apart.
+    # All later groupings are finer than conv_id or conv_id itself, so this is the only exchange of texts.
+    key = F.struct("turn", "role", F.sha2("text", 256).alias("digest"))
+    rows = rows.select("conv_id", key.alias("key"), "text")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id").orderBy("key")))
+    # the text is cut once; its pieces travel on, not the text
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    pieces = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(cut)
+    turn = F.struct("key.turn", "key.role", "key.digest", "copy")
+    rows = rows.select("conv_id", turn.alias("turn"), F.col("key.role").alias("role"), F.posexplode(pieces).alias("seq", "payload"))
+    return rows.select("conv_id", "turn", "seq", F.lit("delta").alias("op"), "role", "payload")
 
 
 def messages_of(events: DataFrame) -> DataFrame:
