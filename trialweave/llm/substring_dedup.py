@@ -57,7 +57,7 @@ def _anchors(documents: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part.column("text"))
-                doc = longs_of(part.column("doc_id"))
+                doc, text_hash = longs_of(part.column("doc_id")), longs_of(part.column("text_hash"))
                 words = words_of(texts)
                 starts, count = window_starts(words, ANCHOR)
                 owner = np.repeat(np.arange(len(texts)), count)
@@ -74,12 +74,12 @@ def _anchors(documents: DataFrame, buckets: int) -> DataFrame:
                 first[order[s]] = True
                 yield pack(
                     (key[first] % np.uint64(buckets)).astype(np.int64),
-                    [_six(key[first] // np.uint64(buckets)), doc[owner[first]], place[first]],
+                    [_six(key[first] // np.uint64(buckets)), doc[owner[first]], text_hash[owner[first]], place[first]],
                 )
                 if known.any():
                     yield pack(
                         np.full(int(known.sum()), -1),
-                        [_six(key[known] // np.uint64(buckets)), doc[owner[known]], place[known]],
+                        [_six(key[known] // np.uint64(buckets)), doc[owner[known]], text_hash[owner[known]], place[known]],
                     )
 
     return documents.mapInArrow(send, PACKED)
@@ -97,7 +97,7 @@ def _eight(items: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(documents: DataFrame) -> DataFrame:
-    """(doc, place): places of anchors that occur more than once."""
+    """(doc, text_hash, place): places of anchors that occur more than once."""
     n = partitions(documents)
     buckets = 4 * n
 
@@ -111,25 +111,25 @@ def repeated_anchors(documents: DataFrame) -> DataFrame:
                     found.append(b.filter(pa.array(own)))
                 yield b.filter(pa.array(~own)), own
 
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
         for b, _ in sent():
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("packed").to_pylist()):
-                k, d, p = unpack(iter([pa.RecordBatch.from_pydict({"packed": [blob]})]), ["V6", "i8", "i4"])
-                for at, v in enumerate((_eight(k), d, p, np.full(len(d), bucket))):
+                k, d, t, p = unpack(iter([pa.RecordBatch.from_pydict({"packed": [blob]})]), ["V6", "i8", "i8", "i4"])
+                for at, v in enumerate((_eight(k), d, t, p, np.full(len(d), bucket))):
                     parts[at].append(v)
         if parts[0]:
-            key, doc, place, bucket = (np.concatenate(v) for v in parts)
+            key, doc, text, place, bucket = (np.concatenate(v) for v in parts)
             order = np.lexsort((key, bucket))
             key = key[order] ^ mix(bucket[order].astype(np.uint64))
             s, e = groups_of(key)
             many = np.repeat(e - s > 1, e - s)
-            doc, place = doc[order][many], place[order][many]
-            order = np.argsort(doc, kind="stable")
-            yield _split_places(doc[order], np.zeros(len(order), np.int64), place[order])
+            doc, text, place = doc[order][many], text[order][many], place[order][many]
+            order = np.lexsort((text, doc))
+            yield _split_places(doc[order], text[order], place[order])
         for b in found:
-            _, doc, place = unpack(iter([b]), ["V6", "i8", "i4"])
-            order = np.argsort(doc, kind="stable")
-            yield _split_places(doc[order], np.zeros(len(order), np.int64), place[order])
+            _, doc, text, place = unpack(iter([b]), ["V6", "i8", "i8", "i4"])
+            order = np.lexsort((text, doc))
+            yield _split_places(doc[order], text[order], place[order])
 
     packed = _anchors(documents, buckets)
     spread = packed.repartition(
@@ -138,8 +138,11 @@ def repeated_anchors(documents: DataFrame) -> DataFrame:
     return spread.mapInArrow(meet, PLACES)
 
 
-def _with_places(documents: DataFrame, places: DataFrame, bits, by_text: bool) -> DataFrame:
-    """Texts that have places, with them: only texts in the bitmap are shuffled."""
+def _with_places(documents: DataFrame, places: DataFrame, bits, how: str) -> DataFrame:
+    """Texts that have places, with them: only texts in the bitmap are shuffled.
+
+    Places belong to a doc_id and a text, so that texts of one repeated or null id don't share lists.
+    """
 
     def may_have(batches):
         for b in batches:
@@ -147,10 +150,9 @@ def _with_places(documents: DataFrame, places: DataFrame, bits, by_text: bool) -
 
     per_doc = places.groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
     asked = documents.mapInArrow(may_have, documents.schema)
-    on = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.col("doc")
-    if by_text:
-        on = on & (F.xxhash64("text") == F.col("text_hash"))
-    return asked.join(per_doc.hint("shuffle_hash"), on, "left" if by_text else "inner")
+    per_doc = per_doc.withColumnRenamed("text_hash", "hash_of_text")
+    on = (F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.col("doc")) & (F.col("text_hash") == F.col("hash_of_text"))
+    return asked.join(per_doc.hint("shuffle_hash"), on, how)
 
 
 def repeated_windows(documents: DataFrame, anchors: DataFrame, bits) -> DataFrame:
@@ -217,8 +219,7 @@ def repeated_windows(documents: DataFrame, anchors: DataFrame, bits) -> DataFram
                 order = np.lexsort((t, d))
                 yield _split_places(d[order], t[order].view(np.int64), p[order])
 
-    near = _with_places(documents, anchors, bits, by_text=False)
-    near = near.select("doc_id", "text", "places", F.xxhash64("text").alias("text_hash"))
+    near = _with_places(documents, anchors, bits, "inner").select("doc_id", "text", "places", "text_hash")
     packed = near.mapInArrow(send, PACKED)
     spread = packed.repartition(
         n, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.hash("packed"), F.lit(n)))
@@ -255,6 +256,7 @@ def substring_dedup(documents: DataFrame, as_text: bool = False) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     anchors, _ = stored(repeated_anchors(docs), "anchors")
     bits = bitmap(anchors, "doc")
     windows, _ = stored(repeated_windows(docs, anchors, bits), "windows")
@@ -282,7 +284,7 @@ def substring_dedup(documents: DataFrame, as_text: bool = False) -> DataFrame:
                 )
 
     schema = f"doc_id long, n_words long, n_removed long, {last}"
-    hit = _with_places(docs, windows, bits, by_text=True).select("doc_id", "text", "places")
+    hit = _with_places(docs, windows, bits, "left").select("doc_id", "text", "places")
     return hit.mapInArrow(lambda b: finish(b, True), schema).unionByName(
         docs.mapInArrow(lambda b: finish(b, False), schema)
     )
