@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Each proposal starts with its pattern's score, gains by a passed checksum (Luhn for cards, mod 97
-for account numbers) and by a context word within ``NEAR`` characters, and is reported from
+for account numbers) and by a whole context word within ``NEAR`` characters, and is reported from
 ``THRESHOLD`` on. The base kinds (email, ip, card, phone) are proposals whose own test is enough;
 the others, among them card numbers inside longer runs of digits, need a checksum or context.
 
@@ -38,15 +38,17 @@ CONTEXT = {
     "ssn": ("ssn", "social security", "sozialversicherung"),
 }
 
+# fixed values: lengths of account numbers by country
 IBAN_LENGTHS = {
-    country: int(x[:2])
-    for x in (
-        "15NO 16BE 18DK,FI,FO,GL,NL 19MK,SI 20AT,BA,EE,KZ,LT,LU,XK 21CH,HR,LI,LV 22BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
-        "23AE,GI,IL,IQ,TL 24AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25PT,ST 26IS,TR 27FR,GR,IT,MC,MR,SM "
-        "28AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29BR,EG,PS,QA,UA 30JO,KW,MU 31MT,SC 32LC"
-    ).split()
-    for country in x[2:].split(",")
-}
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -58,6 +60,8 @@ _PLAIN_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile("[0-9]+")
+_CONTEXT = {kind: re.compile(r"(?<!\w)(?:" + "|".join(words) + r")(?![^\W0-9_])", re.I) for kind, words in CONTEXT.items()}
+_LONGEST = max(len(w) for words in CONTEXT.values() for w in words) + 1
 
 
 def luhn(digits: str) -> bool:
@@ -106,10 +110,18 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _near(kind: str, text: str, start: int, end: int) -> bool:
+    """Whether a context word, whole, begins or ends within NEAR characters of the span."""
+    words = _CONTEXT[kind]
+    if words.search(text, max(0, start - NEAR), start):
+        return True
+    found = words.search(text, end, end + NEAR + _LONGEST)
+    return found is not None and found.end() <= end + NEAR
+
+
 def _score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
     own, checksum, context = SCORES[kind]
-    around = text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower()
-    return own + checksum * confirmed + context * any(w in around for w in CONTEXT[kind])
+    return own + checksum * confirmed + context * _near(kind, text, start, end)
 
 
 def _ibans(text: str, taken: Taken) -> list[Span]:
