@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+FINE_SLICE = 1 << 20  # where a byte of text becomes many bytes of arrays
 
 _BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLANK = np.zeros(256, bool)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, slices, texts_of, window_hashes, window_starts, word_hashes, words_of
+from .arrays import FINE_SLICE, LOWER, slices, texts_of, window_hashes, window_starts, word_hashes, words_of
 
 TILE = 4
 COVERAGE = 0.6
@@ -146,7 +146,7 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, coverage: floa
     def found(items):
         def rows(batches):
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", FINE_SLICE):
                     hits = contained(part, items.value, coverage)
                     at = pa.array([h[0] for h in hits], pa.int64())
                     numbers = [pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4)]
@@ -173,7 +173,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, coverage: floa
     def without(items):
         def rows(batches):
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", FINE_SLICE):
                     bad = np.zeros(part.num_rows, bool)
                     bad[[h[0] for h in contained(part, items.value, coverage)]] = True
                     yield part.filter(pa.array(~bad))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import mix, powers, ranges, slices, texts_of
+from .arrays import FINE_SLICE, mix, powers, ranges, slices, texts_of
 
 BLANK_MARK = 0x2581
 LITERAL_MARK = 0x110000  # a U+2581 that the text itself holds
@@ -373,7 +373,7 @@ def encode(documents: DataFrame, vocabulary: str, text: str = "text", ids: str =
     def rows(batches):
         encoder = _encoder(vocabulary, shared)
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
+            for part in slices(batch, text, FINE_SLICE):
                 e = encode_texts(part.column(text).to_pylist(), encoder)
                 lists = pa.ListArray.from_arrays(pa.array(e.at.astype(np.int32)), pa.array(e.id.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists], [*rest, ids])
@@ -407,7 +407,7 @@ def round_trip(documents: DataFrame, vocabulary: str) -> DataFrame:
     def rows(batches):
         encoder = _encoder(vocabulary, shared)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", FINE_SLICE):
                 texts = texts_of(part.column("text"))
                 e = encode_texts(part.column("text").to_pylist(), encoder)
                 ids = e.id.astype("<i4")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Texts, slices, texts_of, word_hashes, words_of
+from .arrays import FINE_SLICE, Texts, slices, texts_of, word_hashes, words_of
+from .exchange import discard, stored
 from .letters import CLASS, sums, windows
 from .quality_rules import SYMBOL, duplicate_lines
 
@@ -201,14 +202,14 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Score
 
     def vote(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_SLICE):
                 found = patterns(votes(measures(texts_of(part.column("text")))))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found)], ["row", "pattern"])
 
     # rows are drawn by what they hold: null and repeated ids take part, and a retry draws the same
     row = F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
     documents = documents.select(row.alias("row"), "text")
-    voted = documents.mapInArrow(vote, "row long, pattern long")
+    voted, path = stored(documents.mapInArrow(vote, "row long, pattern long"), "votes")
     table = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toArrow()
     pattern, n = table.column("pattern").to_numpy(), table.column("n").to_numpy()
     if not len(pattern):
@@ -221,12 +222,13 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Score
         rows = voted.where(F.col("pattern").isin(own)) if own else voted.limit(0)
         rows = rows.select("row").distinct().orderBy("row").limit(sample)
         drawn.update(dict.fromkeys(r.row for r in rows.collect()))
+    discard(documents.sparkSession, path)
     wanted = documents.sparkSession.sparkContext.broadcast(np.array(sorted(drawn), np.int64))
 
     def gather(batches):
         for batch in batches:
             batch = batch.filter(pa.array(np.isin(batch.column("row").to_numpy(), wanted.value)))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_SLICE):
                 texts = texts_of(part.column("text"))
                 m = measures(texts)
                 rows = sparse(texts, m)
@@ -260,7 +262,7 @@ def classify(documents: DataFrame, sample: int = SAMPLE, reject: float = REJECT)
 
     def rows(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_SLICE):
                 labels, scorer = models.value
                 texts = texts_of(part.column("text"))
                 m = measures(texts)
@@ -280,7 +282,7 @@ def keep_good(documents: DataFrame, sample: int = SAMPLE, reject: float = REJECT
 
     def rows(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_SLICE):
                 texts = texts_of(part.column("text"))
                 yield part.filter(pa.array(models.value[1].scores(texts, measures(texts)) >= reject))
 
