@@ -41,6 +41,34 @@ def test_ngram_join_compares_all_texts_of_a_repeated_id(spark):
     assert {r.component_id for r in found} == {1}
 
 
+def test_ngram_join_ties_all_texts_of_repeated_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    data = [(1, "a"), (2, "b"), (3, "c"), (5, "a"), (5, "b"), (5, "c"), (9, "d"), (9, "e"), (9, "f"), (4, "f"), (6, "e"), (None, "d"), (None, "f")]
+    data = [(d, text[k]) for d, k in data]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    low = [(-(2**63) if d is None else d, t) for d, t in data]
+    want = {(None if d == -(2**63) else d, n, None if c == -(2**63) else c) for d, n, c in brute.ngram_join(low)}
+    assert set(rows(ngram_join.ngram_join(df))) == want
+
+
+def test_ngram_join_of_long_texts_and_near_misses(spark):
+    """Sets of thousands of shingles under common keys; texts that just miss the limit, and chains of links."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(2500)]
+    data = []
+    for k in range(14):
+        t = list(base)
+        for at in rng.choice(2500, 30 + 12 * k, replace=False):
+            t[at] = f"c{k}x{at}"
+        data.append((200 - k, " ".join(t)))
+    chain = [f"d{i}" for i in range(80)]
+    for k in range(10):
+        chain = chain[4:] + [f"e{k}x{i}" for i in range(4)]
+        data.append((300 + k, " ".join(chain)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert set(rows(ngram_join.ngram_join(df))) == brute.ngram_join(data)
+
+
 def test_ngram_join_finds_links_that_no_smallest_member_has(spark):
     base = [f"b{i}" for i in range(60)]
     texts = [list(base)]
@@ -87,6 +115,27 @@ def test_substring_dedup(request, table):
     assert set(rows(substring_dedup.substring_dedup(df))) == brute.substring_dedup(pairs(df))
 
 
+def test_substring_dedup_without_ids(spark):
+    """Texts without ids have places of their own; the number of places grows with the texts."""
+    passage = " ".join(f"p{i}" for i in range(40))
+
+    def table(n):
+        return spark.createDataFrame([(None, f"a{i} b{i} {passage} c{i}") for i in range(n)] + [(3, passage), (3, passage + " x")], "doc_id long, text string")
+
+    df = table(30)
+    low = [(-(2**63) if d is None else d, t) for d, t in pairs(df)]
+    want = {(None if r[0] == -(2**63) else r[0], *r[1:]) for r in brute.substring_dedup(low)}
+    assert set(rows(substring_dedup.substring_dedup(df))) == want
+    found = []
+    for n in (40, 80):
+        docs = table(n).withColumn("text_hash", F.xxhash64("text"))
+        anchors = substring_dedup.repeated_anchors(docs)
+        bits = exchange.bitmap(anchors, "doc")
+        near = substring_dedup._with_places(docs, anchors, bits, "inner")
+        found.append(near.agg(F.sum(F.size("places"))).first()[0])
+    assert found[1] < 2.2 * found[0]
+
+
 def test_substring_dedup_text(hard):
     kept = {r.doc_id: r.kept for r in substring_dedup.substring_dedup(hard, as_text=True).collect()}
     assert kept[10] == "head" and kept[11] == "" and kept[4] == "one two"
@@ -113,6 +162,16 @@ def test_pii_needs_checksum_or_context():
     assert pii.redacted("to a@b.co now", [("email", 3, 9)]) == "to [EMAIL] now"
 
 
+def test_context_words_are_whole_words():
+    number = "415-555-0100"
+    for text in (f"the hotel number {number}", f"locally {number}", f"a stellar {number}", f"{number} telling", f"{number} a phoned friend"):
+        assert pii.spans_of(text) == ([], [])
+    for text in (f"Tel.: {number}", f"tel{number}", f"{number} (phone)", "x" * 60 + f" call {number}", f"{number}" + " " * 35 + "phone"):
+        at = text.index(number)
+        assert pii.spans_of(text)[1] == [("phone", at, at + len(number))]
+    assert pii.spans_of(f"{number}" + " " * 36 + "phone") == ([], [])
+
+
 def test_iban_ends_before_words_and_numbers():
     grouped = "GB82 WEST 1234 5698 7654 32"
     for text in (f"pay {grouped} EUR", f"pay {grouped} 2024 NOW", f"pay XY34 {grouped} DE89 3704 0044 0532 0130 00 EUR"):
@@ -128,6 +187,31 @@ def test_redact_keeps_columns(hard):
     assert "[EMAIL]" in out.where("doc_id = 12").first().text
 
 
+def test_secrets_scores_all_candidates():
+    """Short runs, runs without a digit, dotted ones and the rests of covered runs are candidates."""
+    text = "a.b-c token=abcdef1 see shortie, Zq.Xw-Vk. AKIA" + "B" * 16 + "-restOfRun"
+    base = secret_scan.base_spans(text)
+    got = [text[a:b] for a, b in secret_scan.candidates(text, base)]
+    assert got == ["shortie", "Zq.Xw-Vk", "restOfRun"] or got == ["shortie", "Zq.Xw-Vk"]
+    assert not any(x < b and a < y for a, b in secret_scan.candidates(text, base) for _, x, y in base)
+
+
+def test_secrets_finds_unlabelled_credentials(spark):
+    rng = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+    def key(n):
+        return "".join(rng.choice(letters, n))
+
+    plain = ["".join(rng.choice(list("etaoinshr"), rng.integers(6, 12))) for _ in range(400)]
+    texts = [(i, " ".join(rng.choice(plain, 30)) + f" password={key(20)}") for i in range(120)]
+    hidden = [key(20) for _ in range(40)]
+    texts += [(200 + i, " ".join(rng.choice(plain, 30)) + f" {h} end") for i, h in enumerate(hidden)]
+    found = {r.doc_id: r.spans for r in secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    caught = sum("token" in found[200 + i] for i in range(40))
+    assert caught >= 38 and sum("token" in found[i] for i in range(120)) <= 2
+
+
 def test_automaton_prefers_its_language():
     learned = secret_scan.learn([secret_scan.classes_of("ab12" * k) for k in range(3, 9)] * 5)
     assert learned.score(secret_scan.classes_of("cd34" * 5)) > learned.score(secret_scan.classes_of("zzzzzzzzzz"))
@@ -143,6 +227,18 @@ def test_quality_rules(request, table):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_bands_change_without_a_step(spark):
+    """One text more never moves a rare language's band far."""
+    def ends(n):
+        data = [("en", 2000 + i % 100, 60) for i in range(500)] + [("xx", 2600 + i % 40, 60) for i in range(n)]
+        measured = spark.createDataFrame(data, "lang string, log_perplexity long, n_words long")
+        return {r.lang: (r.low, r.high) for r in quality_rules.bands(measured).collect()}
+
+    before, after, common = ends(19), ends(20), ends(4000)
+    assert abs(before["xx"][1] - after["xx"][1]) < 25 and before["xx"][1] > before["en"][1]
+    assert common["xx"][0] > 2300
+
+
 def test_rare_language_rejects_junk(spark):
     rng = np.random.default_rng(3)
     plain = ["".join(rng.choice(list("etaoin"), 5)) for _ in range(200)]

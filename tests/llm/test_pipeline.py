@@ -29,7 +29,27 @@ def test_stages(spark):
     assert dict(pairs(back)) == dict(pairs(private))
 
 
+def test_stages_on_hard_rows(spark, hard):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names: each stage keeps the columns and its right rows."""
+    folder = FOLDER.replace("0.001", "0.01")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = hard.withColumn("n_chars", exchange.F.length("text").cast("long"))
+        out, _ = exchange.stored(stage(spark, docs, folder), "stage")
+        if name != names[-1]:
+            assert out.columns == docs.columns
+        else:
+            assert set(out.columns) == set(docs.columns) - {"text"} | {"ids"} and out.count() == docs.count()
+        if name == "n-gram Jaccard join":
+            assert {r.doc_id for r in out.collect()} == {c for _, _, c in brute.ngram_join(pairs(docs))}
+
+
+def test_stages_on_an_empty_table(spark, nothing):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, FOLDER).count() == 0
+
+
 def test_registered():
-    assert "pipeline" in contract.queries() and {f"op{n}_" for n in range(1, 11)} <= {
+    assert "pipeline" in contract.queries() and {f"op{n}_" for n in range(1, 14)} <= {
         q.split("_")[0] + "_" for q in contract.queries()
     }
