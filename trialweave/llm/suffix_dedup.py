@@ -159,14 +159,15 @@ def _untold(blobs: list[bytes], types: list[str]) -> list[np.ndarray]:
     return [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(out, types)]
 
 
-ANCHORS = "id long, found binary, hot long, sample binary"
+ANCHORS = "bucket int, packed binary, hot long, sample binary"
 FOUND = ["i4", "u1", "u1"]  # place, least and greatest offset
 
 
-def _anchor_rows(ids=None, found=None, hot=None, sample=None) -> pa.RecordBatch:
-    given = ((ids, pa.int64()), (found, pa.binary()), (hot, pa.int64()), (sample, pa.binary()))
+def _anchor_rows(bucket=None, packed=None, hot=None, sample=None) -> pa.RecordBatch:
+    given = ((bucket, pa.int32()), (packed, pa.binary()), (hot, pa.int64()), (sample, pa.binary()))
     n = next(len(v) for v, _ in given if v is not None)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in given], ["id", "found", "hot", "sample"])
+    arrays = [pa.nulls(n, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in given]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "packed", "hot", "sample"])
 
 
 def _anchor_id(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,14 +249,30 @@ def shared_anchors(texts: DataFrame, n: int, live: Callable, repeated) -> DataFr
             hot = key[s[e - s > HOT_SLICES]]
             if len(hot):
                 yield _anchor_rows(hot=hot.view(np.int64))
-        row, *carried = found
-        _, row, blobs = _told(np.zeros(len(row), np.int64), row, carried)
-        for at in range(0, len(row), 1 << 14):
-            yield _anchor_rows(ids=row[at : at + (1 << 14)], found=blobs[at : at + (1 << 14)])
+        ids, *carried = found
+        order = np.lexsort((carried[0], ids))
+        batch = _packed((mix(ids[order].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [c[order] for c in (ids, *carried)])
+        yield _anchor_rows(batch.column("bucket"), batch.column("packed"))
 
     return _dealt(texts.mapInArrow(send, PACKED), n).mapInArrow(meet, ANCHORS)
 
 
+def places_of(anchors: DataFrame, n: int) -> DataFrame:
+    """(id, found): a row per text; one per text and task of the exchange before would grow as their product."""
+
+    def gather(batches):
+        found = [_unpacked(x, ["i8", *FOUND]) for batch in batches for x in batch.column("packed").to_pylist()]
+        if found:
+            ids, *carried = (np.concatenate(c) for c in zip(*found))
+            _, ids, told = _told(np.zeros(len(ids), np.int64), ids, carried)
+            for at in range(0, len(ids), 1 << 14):
+                end = at + (1 << 14)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end]), pa.array(told[at:end], pa.binary())], ["id", "found"])
+
+    dealt = anchors.where("bucket is not null").select("bucket", "packed").repartition(n, "bucket")
+    return dealt.mapInArrow(gather, "id long, found binary")
+
+
 def _with_blobs(texts: DataFrame, told: DataFrame, bits, on: list[str], repeated) -> DataFrame:
     """(doc, row, id, text, found): compressed texts in the bitmap with all that was told about them, null where nothing was.
 
@@ -473,7 +490,7 @@ STARTS = "doc long, id long, found binary"
 MARKED = ["i4", "i4"]  # place and mask
 
 
-def repeated_starts(texts: DataFrame, anchors: DataFrame, bits, hot, repeated, n: int) -> DataFrame:
+def repeated_starts(texts: DataFrame, anchors: DataFrame, places: DataFrame, bits, hot, repeated, n: int) -> DataFrame:
     """(doc, id, found): places and masks of suffixes that hold strings of smaller documents."""
     sample = anchors.where("sample is not null").select("sample").orderBy(F.xxhash64("sample"), "sample").limit(SPLIT_SAMPLE)
     strings = np.unique(np.array(sample.toArrow().column("sample").to_pylist(), f"S{ANCHOR}"))
@@ -552,7 +569,7 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, bits, hot, repeated, n
                 end = at + (1 << 14)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[at:end]), pa.array(ids[at:end]), pa.array(told[at:end], pa.binary())], ["doc", "id", "found"])
 
-    near = _with_blobs(texts, anchors.where("id is not null").select("id", "found"), bits, ["id"], repeated).where("found is not null")
+    near = _with_blobs(texts, places, bits, ["id"], repeated).where("found is not null")
     marked = _dealt(near.select("doc", "id", "text", "found").mapInArrow(send, PACKED), n).mapInArrow(meet, PACKED)
     return marked.repartition(n, "bucket").mapInArrow(gather, STARTS)
 
@@ -607,8 +624,9 @@ def suffix_dedup(documents: DataFrame, as_bytes: bool = False) -> DataFrame:
 
     anchors, _ = stored(shared_anchors(everything, n, live, repeated), "anchors")
     hot = bitmap(anchors.where("hot is not null"), "hot")
-    shared = bitmap(anchors.where("id is not null"), "id")
-    starts, _ = stored(repeated_starts(everything, anchors, shared, hot, repeated, n), "starts")
+    places, _ = stored(places_of(anchors, n), "places")
+    shared = bitmap(places, "id")
+    starts, _ = stored(repeated_starts(everything, anchors, places, shared, hot, repeated, n), "starts")
     bits = bitmap(starts, "id")
     last = "kept" if as_bytes else "kept_sha256"
     schema = f"doc long, row long, n_bytes long, n_removed long, n_spans long, {last} {'binary' if as_bytes else 'string'}"
