@@ -212,6 +212,27 @@ def test_secrets_finds_unlabelled_credentials(spark):
     assert caught >= 38 and sum("token" in found[i] for i in range(120)) <= 2
 
 
+def test_secrets_learns_from_all_values(spark):
+    """The probabilities are those of every distinct value, run through the states."""
+    rng = np.random.default_rng(4)
+    values = ["".join(rng.choice(list("abc123XYZ"), rng.integers(8, 14))) for _ in range(900)]
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(6, 9))) for _ in range(700)]
+    rows = [(i, f"password={v} {words[i % 700]}") for i, v in enumerate(values)]
+    got = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    end = secret_scan.SYMBOLS
+    for learned, strings in ((got.credentials, set(values)), (got.ordinary, set(words))):
+        counts = np.zeros((len(learned.ends), end + 1))
+        for v in strings:
+            state = 0
+            for c in secret_scan.classes_of(v):
+                counts[state, c] += 1
+                state = learned.moves[state][c][0]
+            counts[state, end] += 1
+        for state, c in enumerate(counts):
+            assert np.isclose(learned.ends[state], np.log((c[end] + 1) / (c.sum() + end + 1)))
+            assert all(np.isclose(p, np.log((c[s] + 1) / (c.sum() + end + 1))) for s, (_, p) in learned.moves[state].items())
+
+
 def test_automaton_prefers_its_language():
     learned = secret_scan.learn([secret_scan.classes_of("ab12" * k) for k in range(3, 9)] * 5)
     assert learned.score(secret_scan.classes_of("cd34" * 5)) > learned.score(secret_scan.classes_of("zzzzzzzzzz"))
