@@ -133,6 +133,35 @@ def rules(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
+def perplexities(texts):
+    """Negative log probability per byte under interpolated modified Kneser-Ney over pairs of words."""
+    lists = [["", *words(t or "")] for t in texts]
+    count = Counter(x for w in lists for x in zip(w, w[1:]))
+    after = Counter(w for _, w in count)
+    context, followers = Counter(), {}
+    for (v, _), n in count.items():
+        context[v] += n
+        followers.setdefault(v, []).append(n)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in range(1, 5)]
+        y = n[0] / max(n[0] + 2 * n[1], 1)
+        d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.5 for k in range(3)]
+        return [0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))]
+
+    two, one = discounts(count.values()), discounts(after.values())
+    left = sum(one[min(n, 3)] for n in after.values()) / max(len(after), 1)
+    out = []
+    for t, w in zip(texts, lists):
+        total = 0.0
+        for v, x in zip(w, w[1:]):
+            lower = (after[x] - one[min(after[x], 3)] + left) / len(count)
+            weight = sum(two[min(n, 3)] for n in followers[v])
+            total -= math.log((count[v, x] - two[min(count[v, x], 3)] + weight * lower) / context[v])
+        out.append(total / max(len((t or "").encode()), 1))
+    return out
+
+
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 

@@ -248,6 +248,28 @@ def test_quality_rules(request, table):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+@pytest.mark.parametrize("table", ["documents", "hard"])
+def test_perplexity_is_of_word_pairs(request, table):
+    """Against a plain modified Kneser-Ney model of the words of all texts."""
+    df = request.getfixturevalue(table)
+    got = quality_rules.quality_rules(df).collect()
+    want = brute.perplexities([t for _, t in pairs(df)])
+    found = sorted((r.doc_id, r.log_perplexity) for r in got)
+    expected = sorted((d, x) for (d, _), x in zip(pairs(df), want))
+    assert [d for d, _ in found] == [d for d, _ in expected]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(found, expected)) < 0.0011
+
+
+def test_perplexity_sees_other_scripts(spark):
+    """Texts of equal letter classes but shuffled words differ."""
+    words = ["молоко", "золото", "корова", "болото", "колесо", "полено"]
+    rng = np.random.default_rng(5)
+    usual = " ".join(words * 12)
+    texts = [(i, usual, "ru") for i in range(30)] + [(40, " ".join(rng.permutation(words * 12)), "ru")]
+    got = {r.doc_id: r.log_perplexity for r in quality_rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+    assert got[40] > 2 * got[0]
+
+
 def test_bands_change_without_a_step(spark):
     """One text more never moves a rare language's band far."""
     def ends(n):
