@@ -53,3 +53,26 @@ def test_registered():
     assert "pipeline" in contract.queries() and {f"op{n}_" for n in range(1, 14)} <= {
         q.split("_")[0] + "_" for q in contract.queries()
     }
+
+
+def test_stages_ask_for_small_batches(spark, documents):
+    """No stage takes batches of Spark's default size into its Python workers; a smaller limit stays."""
+    before = spark.conf.get(exchange.BATCH)
+
+    def sizes(batches):
+        for b in batches:
+            yield exchange.pa.RecordBatch.from_arrays([exchange.pa.array([b.nbytes])], ["bytes"])
+
+    long = documents.select("text").limit(20).select(exchange.F.repeat("text", 2000).alias("text")).repartition(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(exchange.BATCH)
+            stage(spark, documents.limit(5), FOLDER)
+            got = [r.bytes for r in long.union(long).repartition(1).mapInArrow(sizes, "bytes long").collect()]
+            longest = max(len(r.text.encode()) for r in long.collect())
+            assert max(got) <= exchange.BATCH_BYTES + 2 * longest and sum(got) > 3 * exchange.BATCH_BYTES
+        spark.conf.set(exchange.BATCH, "1m")
+        corpus_pipeline.personal_data(spark, documents, FOLDER)
+        assert spark.conf.get(exchange.BATCH) == "1m"
+    finally:
+        spark.conf.set(exchange.BATCH, before)
