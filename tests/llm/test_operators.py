@@ -1,5 +1,7 @@
 """Operators against the plain Python contracts, on the smallest tables and on hard rows."""
 
+from pathlib import Path
+
 import brute
 import duckdb
 import numpy as np
@@ -260,6 +262,37 @@ def test_perplexity_is_of_word_pairs(request, table):
     assert max(abs(a - b) for (_, a), (_, b) in zip(found, expected)) < 0.0011
 
 
+def test_pairs_take_little_room(spark, monkeypatch):
+    """What is stored on the way is smaller than the texts."""
+    folder = FOLDER.replace("0.001", "0.01")
+    sizes = []
+
+    def stored(df, name):
+        table, path = exchange.stored(df, name)
+        sizes.append(sum(p.stat().st_size for p in Path(path.removeprefix("file:")).rglob("*.parquet")))
+        return table, path
+
+    monkeypatch.setattr(quality_rules, "stored", stored)
+    quality_rules.quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).count()
+    assert sum(sizes) < Path(f"{folder}/documents.parquet").stat().st_size
+
+
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(2)
+    vocabulary = rng.integers(2, 2**63, 500, dtype=np.uint64)
+    table = np.union1d(vocabulary[:200], [quality_rules.START])
+    before, word = (rng.choice(vocabulary, 3000) for _ in range(2))
+    before[::7] = quality_rules.START
+    times = rng.integers(1, 9, 3000).astype(np.uint32)
+    key = quality_rules.mix(before * quality_rules._ODD ^ word)
+    back = []
+    for bucket, blob in quality_rules._sent(before, word, key, [times], table, 7):
+        x, y, n = quality_rules._received(blob, table, np.uint32)
+        assert (quality_rules.mix(x * quality_rules._ODD ^ y) % np.uint64(7) == bucket).all()
+        back += zip(x, y, n)
+    assert sorted(back) == sorted(zip(before, word, times))
+
+
 def test_perplexity_sees_other_scripts(spark):
     """Texts of equal letter classes but shuffled words differ."""
     words = ["молоко", "золото", "корова", "болото", "колесо", "полено"]
