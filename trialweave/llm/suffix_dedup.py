@@ -16,8 +16,9 @@ winner that beat it, so comparisons begin behind known prefixes, and most are de
 *Windows.* In the merged order, suffixes that share LENGTH - o bytes are neighbours; those whose o bytes on the left are equal too
 hold the same string. All but those of the smallest document are marked, after a comparison of the bytes.
 
-Anchors of very many slices of texts would bring all their different surroundings to one range. Their strings
-travel as suffixes of their own, which start at the string and need nothing on the left.
+Anchors with very many different surroundings would bring all of them to one range. Their strings
+travel as suffixes of their own, which start at the string and need nothing on the left. An anchor has up to OFFSETS strings, so
+this is kept for those whose surroundings would outweigh a usual range, however many texts hold the anchor.
 Documents whose whole text has a copy with a smaller doc_id are decided by a 128-bit digest beforehand.
 
 A null text is empty. A null doc_id is smaller than all others. Rows that repeat a doc_id don't remove each other's
@@ -32,19 +33,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_KEYS, Texts, longs_of, mix, powers, ranges, slices, texts_of
-from .exchange import PACKED, bitmap, groups_of, in_bitmap, pack, partitions, squeezed, stored, unpack, unsqueezed
+from .exchange import PACKED, bitmap, groups_of, in_bitmap, partitions, squeezed, stored, unsqueezed
 
 LENGTH = 50
 ANCHOR = 20
 OFFSETS = LENGTH - ANCHOR + 1  # of an anchor in a string
-HOT_SLICES = 256  # packed groups of texts that hold an anchor; a group has at most PACKED_ANCHORS of them
+HOT_SLICES = 1 << 15  # different surroundings of an anchor, summed over slices of texts that are packed together
 SLICE = 1 << 18  # bytes whose anchors are sought at once
 PACKED_ANCHORS = 1 << 18  # anchors that a task packs at once
 RUN = 1 << 17  # suffixes that a task sorts at once
+DECODED = 1 << 14  # suffixes, at least, that are decoded at once
+RANGES = 4  # of suffixes a task merges, one after the other
 SAMPLED = 64  # anchors of a packed group that take part in choosing the splitters
 SPLIT_SAMPLE = 1 << 15
 NULL_ID = -(2**63)
@@ -57,14 +60,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(n), powers(n, pow(base, -1, 1 << 64))
 
 
-def gram_sums(data: np.ndarray) -> np.ndarray:
-    """A number for each ANCHOR consecutive bytes, from running sums."""
-    n = len(data) - ANCHOR + 1
+def _running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of all bytes before each place, and what makes their differences independent of the place."""
     up, down = _powers(1 << max(18, len(data).bit_length()))
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=run[1:])
+    return run, down
+
+
+def gram_sums(data: np.ndarray) -> np.ndarray:
+    """A number for each ANCHOR consecutive bytes, from running sums."""
+    run, down = _running(data)
     sums = run[ANCHOR:] - run[:-ANCHOR]
-    sums *= down[:n]
+    sums *= down[: len(sums)]
     return sums
 
 
@@ -102,6 +110,24 @@ def anchors_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return owner, place - at[owner], place - last, place - first, mix(sums[place])
 
 
+def surroundings_of(texts: Texts, owner: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of all bytes that the strings of an anchor cover."""
+    run, down = _running(texts.data)
+    at = texts.at[owner] + place
+    start = at - high
+    return mix((run[at - low + LENGTH] - run[start]) * down[start] + (high << 8 | low).astype(np.uint64))
+
+
+def _buckets(spark: SparkSession, n: int, each: int = 1) -> np.ndarray:
+    """Ascending numbers of buckets, of which Spark deals ``each`` to every one of n tasks."""
+    numbers = spark.range(0, n * (each + 40), 1, 1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("task"))
+    task = numbers.toArrow().column("task").to_numpy()
+    order = np.argsort(task, kind="stable")
+    s, e = groups_of(task[order])
+    turn = np.arange(len(order)) - np.repeat(s, e - s)
+    return np.sort(order[np.argsort(turn, kind="stable")[: n * each]]).astype(np.int32)
+
+
 def _own(documents: DataFrame) -> DataFrame:
     """(doc, row, text): row names the doc_id and the text."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
@@ -116,14 +142,45 @@ def _dealt(packed: DataFrame, n: int) -> DataFrame:
 
 
 def _packed(buckets: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
-    """As ``pack``, compressed."""
-    batch = pack(buckets, arrays)
-    blobs = [squeezed(x) for x in batch.column("packed").to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(blobs, pa.binary())], ["bucket", "packed"])
-
-
-def _unpacked(blob: bytes, types: list[str]) -> list[np.ndarray]:
-    return unpack(iter([pa.RecordBatch.from_pydict({"packed": [unsqueezed(blob)]})]), types)
+    """One compressed row per bucket; signed arrays are stored as differences."""
+    order = np.argsort(buckets, kind="stable")
+    own = buckets[order]
+    s, e = groups_of(own)
+    parts = []
+    for a in arrays:
+        a = a[order]
+        if a.dtype.kind == "i":
+            change = a.copy()
+            change[1:] -= a[:-1]
+            change[s] = a[s]
+            a = change
+        parts.append((memoryview(a.tobytes()), a.itemsize))
+    blobs = [squeezed(b"".join(p[i * x : j * x] for p, x in parts)) for i, j in zip(s.tolist(), e.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(own[s].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "packed"])
+
+
+def _unpacked(blobs: list[bytes], types: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays of packed rows, joined, and how many numbers each row had."""
+    types = [np.dtype(t) for t in types]
+    width = sum(t.itemsize for t in types)
+    out: list[list[np.ndarray]] = [[] for _ in types]
+    counts = []
+    for blob in map(unsqueezed, blobs):
+        n, at = len(blob) // width, 0
+        counts.append(n)
+        for k, t in enumerate(types):
+            out[k].append(np.frombuffer(blob, t, n, at))
+            at += n * t.itemsize
+    counts = np.array(counts, np.int64)
+    arrays = [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(out, types)]
+    full = counts[counts > 0]
+    starts = np.cumsum(full) - full
+    for k, t in enumerate(types):
+        if t.kind == "i" and len(full):
+            total = np.cumsum(arrays[k], dtype=t)
+            total -= np.repeat(np.r_[t.type(0), total[starts[1:] - 1]], full)
+            arrays[k] = total
+    return arrays, counts
 
 
 def _ids(batch: pa.RecordBatch, repeated) -> np.ndarray:
@@ -184,14 +241,14 @@ def shared_anchors(texts: DataFrame, n: int, live: Callable, repeated) -> DataFr
 
     ``live`` drops rows of a batch in the same Python worker.
     """
-    buckets = 4 * n
-    types = ["V5", "i8", "i4", "u1", "u1"]
+    numbers = _buckets(texts.sparkSession, n)
+    types = ["V5", "i8", "i4", "u1", "u1", "u2"]  # name, id, place, offsets, and different surroundings it stands for
 
     def send(batches):
         held: list[tuple] = []
 
         def flush():
-            row, place, low, high, key = (np.concatenate(c) for c in zip(*(h[:5] for h in held)))
+            row, place, low, high, key, around = (np.concatenate(c) for c in zip(*(h[:6] for h in held)))
             order = np.argsort(key)
             s, e = groups_of(key[order])
             own = row[order]
@@ -199,13 +256,20 @@ def shared_anchors(texts: DataFrame, n: int, live: Callable, repeated) -> DataFr
             several[order] = np.repeat(np.minimum.reduceat(own, s) != np.maximum.reduceat(own, s), e - s)
             sent = ~several
             sent[order[s]] = True  # one tells the others
-            bucket, name = _anchor_id(key, buckets)
+            of = order[several[order]]
+            of = of[np.lexsort((around[of], key[of]))]
+            s, e = groups_of(key[of])
+            count = np.ones(len(key), np.uint16)
+            if len(s):
+                other = np.r_[True, (key[of[1:]] != key[of[:-1]]) | (around[of[1:]] != around[of[:-1]])]
+                count[of] = np.repeat(np.minimum(np.add.reduceat(other, s, dtype=np.int64), 0xFFFF), e - s)
+            bucket, name = _anchor_id(key, n)
             name = np.ascontiguousarray(name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").reshape(-1)
-            carried = [name, row, place, low, high]
-            yield _packed(bucket[sent], [c[sent] for c in carried])
+            carried = [name, row, place, low, high, count]
+            yield _packed(numbers[bucket[sent]], [c[sent] for c in carried])
             if several.any():
                 yield _packed(np.full(int(several.sum()), KNOWN), [c[several] for c in carried])
-            sample = [x.tobytes() for h in held for x in h[5]]
+            sample = [x.tobytes() for h in held for x in h[6]]
             yield pa.RecordBatch.from_arrays([pa.array([SAMPLE] * len(sample), pa.int32()), pa.array(sample, pa.binary())], ["bucket", "packed"])
             held.clear()
 
@@ -217,41 +281,41 @@ def shared_anchors(texts: DataFrame, n: int, live: Callable, repeated) -> DataFr
                     least = np.argsort(key)[:SAMPLED]
                     strings = own.data[(own.at[owner[least]] + place[least])[:, None] + np.arange(ANCHOR)]
                     row = _ids(part, repeated)[owner]
-                    held.append((row, place.astype(np.int32), low.astype(np.uint8), high.astype(np.uint8), key, strings[:: max(1, len(held))]))
+                    around = surroundings_of(own, owner, place, low, high)
+                    held.append((row, place.astype(np.int32), low.astype(np.uint8), high.astype(np.uint8), key, around, strings[:: max(1, len(held))]))
                 if sum(len(h[0]) for h in held) >= PACKED_ANCHORS:
                     yield from flush()
         if held:
             yield from flush()
 
     def meet(batches):
-        parts, known = [], []
+        found, blobs, known = [], [], []
         for batch in batches:
             bucket = np.asarray(batch.column("bucket"))
             sample = batch.filter(pa.array(bucket == SAMPLE)).column("packed")
             if len(sample):
                 yield _anchor_rows(sample=sample)
-            known += [_unpacked(x, types)[1:] for x in batch.filter(pa.array(bucket == KNOWN)).column("packed").to_pylist()]
+            known += batch.filter(pa.array(bucket == KNOWN)).column("packed").to_pylist()
             rest = batch.filter(pa.array(bucket >= 0))
-            for number, blob in zip(rest.column("bucket").to_pylist(), rest.column("packed").to_pylist()):
-                name, *carried = _unpacked(blob, types)
-                key = np.zeros((len(name), 8), np.uint8)
-                key[:, :5] = np.ascontiguousarray(name).view(np.uint8).reshape(-1, 5)
-                parts.append((_anchor_number(number, key.view("<u8").reshape(-1)), *carried))
-        nothing = [np.zeros(0, t) for t in types[1:]]
-        found = [np.concatenate(c) for c in zip(nothing, *known)]
-        if parts:
-            key, *carried = (np.concatenate(c) for c in zip(*parts))
+            blobs += zip(rest.column("bucket").to_pylist(), rest.column("packed").to_pylist())
+        found.append(_unpacked(known, types)[0][1:5])
+        if blobs:
+            number, packed = zip(*blobs)
+            (name, *carried, count), sizes = _unpacked(list(packed), types)
+            key = np.zeros((len(name), 8), np.uint8)
+            key[:, :5] = np.ascontiguousarray(name).view(np.uint8).reshape(-1, 5)
+            key = _anchor_number(np.repeat(np.searchsorted(numbers, number), sizes), key.view("<u8").reshape(-1))
             order = np.argsort(key)
             key, own = key[order], carried[0][order]
             s, e = groups_of(key)
             on = order[np.repeat(np.minimum.reduceat(own, s) != np.maximum.reduceat(own, s), e - s)]
-            found = [np.concatenate([f, c[on]]) for f, c in zip(found, carried)]
-            hot = key[s[e - s > HOT_SLICES]]
+            found.append([c[on] for c in carried])
+            hot = key[s[np.add.reduceat(count[order], s, dtype=np.int64) > HOT_SLICES]]
             if len(hot):
                 yield _anchor_rows(hot=hot.view(np.int64))
-        ids, *carried = found
+        ids, *carried = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((carried[0], ids))
-        batch = _packed((mix(ids[order].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [c[order] for c in (ids, *carried)])
+        batch = _packed(numbers[(mix(ids[order].view(np.uint64)) % np.uint64(n)).astype(np.int64)], [c[order] for c in (ids, *carried)])
         yield _anchor_rows(batch.column("bucket"), batch.column("packed"))
 
     return _dealt(texts.mapInArrow(send, PACKED), n).mapInArrow(meet, ANCHORS)
@@ -261,9 +325,8 @@ def places_of(anchors: DataFrame, n: int) -> DataFrame:
     """(id, found): a row per text; one per text and task of the exchange before would grow as their product."""
 
     def gather(batches):
-        found = [_unpacked(x, ["i8", *FOUND]) for batch in batches for x in batch.column("packed").to_pylist()]
-        if found:
-            ids, *carried = (np.concatenate(c) for c in zip(*found))
+        (ids, *carried), _ = _unpacked([x for batch in batches for x in batch.column("packed").to_pylist()], ["i8", *FOUND])
+        if len(ids):
             _, ids, told = _told(np.zeros(len(ids), np.int64), ids, carried)
             for at in range(0, len(ids), 1 << 14):
                 end = at + (1 << 14)
@@ -364,42 +427,76 @@ def sorted_run(suffixes: Suffixes) -> tuple[Suffixes, Suffixes]:
     return run.take(first), run.take(~first)
 
 
-def front_coded(run: Suffixes) -> bytes:
-    """A piece of a sorted run: shared lengths, the rest of each suffix, and what it carries."""
+def front_coded_pieces(run: Suffixes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Consecutive pieces of a sorted run: shared lengths, the rest of each suffix, and what it carries."""
     shared = shared_with_previous(run.right).astype(np.uint8)
+    shared[starts] = 0
     j = np.arange(LENGTH)
     rest = run.right[(j >= shared[:, None]) & (j < LENGTH - run.low[:, None])]
     left = run.left[np.arange(OFFSETS - 1) < run.high[:, None]]
-    head = np.array([len(run), len(rest), len(left)], np.int64)
-    parts = (head, shared, run.low, run.high, rest, left, run.doc, run.row ^ run.doc, run.place)
-    return squeezed(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
+    rest_at = np.r_[0, np.cumsum(np.maximum(LENGTH - run.low.astype(np.int64) - shared, 0))]
+    left_at = np.r_[0, np.cumsum(run.high, dtype=np.int64)]
+    heads = np.stack([ends - starts, rest_at[ends] - rest_at[starts], left_at[ends] - left_at[starts]], 1).astype(np.int64)
 
+    def each(values: np.ndarray, at: np.ndarray | None = None) -> list[memoryview]:
+        flat, size = memoryview(np.ascontiguousarray(values).tobytes()), values.itemsize
+        own = (starts, ends) if at is None else (at[starts], at[ends])
+        return [flat[a * size : b * size] for a, b in zip(own[0].tolist(), own[1].tolist())]
 
-def decoded(blob: bytes) -> tuple[Suffixes, np.ndarray]:
-    """The piece, and the shared lengths."""
-    blob = unsqueezed(blob)
-    n, n_rest, n_left = np.frombuffer(blob, np.int64, 3)
-    at = 24
-
-    def read(kind, size):
-        nonlocal at
-        out = np.frombuffer(blob, kind, size, at)
-        at += out.nbytes
-        return out
-
-    shared, low, high, rest, left = read(np.uint8, n), read(np.uint8, n), read(np.uint8, n), read(np.uint8, n_rest), read(np.uint8, n_left)
-    doc, row, place = read(np.int64, n), read(np.int64, n), read(np.int32, n)
+    parts = (each(shared), each(run.low), each(run.high), each(rest, rest_at), each(left, left_at), each(run.doc), each(run.row ^ run.doc), each(run.place))
+    return [squeezed(b"".join((head.tobytes(), *own))) for head, *own in zip(heads, *parts)]
+
+
+def front_coded(run: Suffixes) -> bytes:
+    """A whole sorted run as one piece."""
+    return front_coded_pieces(run, np.zeros(1, np.int64), np.array([len(run)]))[0] if len(run) else squeezed(bytes(24))
+
+
+def _decoded(blobs: list[bytes]) -> tuple[Suffixes, np.ndarray]:
+    """Suffixes and shared lengths of uncompressed pieces; the first of each shares nothing, so they decode as one."""
+    parts = []
+    for blob in blobs:
+        n, n_rest, n_left = np.frombuffer(blob, np.int64, 3).tolist()
+        own, at = [], 24
+        for kind, size in ((np.uint8, n), (np.uint8, n), (np.uint8, n), (np.uint8, n_rest), (np.uint8, n_left), (np.int64, n), (np.int64, n), (np.int32, n)):
+            own.append(np.frombuffer(blob, kind, size, at))
+            at += own[-1].nbytes
+        parts.append(own)
+    shared, low, high, rest, left, doc, row, place = (np.concatenate(c) for c in zip(*parts))
+    n = len(shared)
     j = np.arange(LENGTH)
     right = np.zeros((n, LENGTH), np.uint8)
     right[(j >= shared[:, None]) & (j < LENGTH - low[:, None])] = rest
     # a byte within the shared prefix is that of the last suffix which brought one there
-    source = np.where(shared[:, None] > j, 0, np.arange(n)[:, None])
+    source = np.where(shared[:, None] > j, 0, np.arange(n, dtype=np.int32)[:, None])
     right = np.take_along_axis(right, np.maximum.accumulate(source, axis=0), axis=0)
     lefts = np.zeros((n, OFFSETS - 1), np.uint8)
     lefts[np.arange(OFFSETS - 1) < high[:, None]] = left
     return Suffixes(right, lefts, low, high, doc, row ^ doc, place), shared.astype(np.int64)
 
 
+def decoded_pieces(blobs: list[bytes]) -> tuple[Suffixes, np.ndarray, list[int]]:
+    """All pieces one after the other, the shared lengths, and where the pieces begin and end."""
+    found, held, count, at = [], [], 0, [0]
+    for blob in map(unsqueezed, blobs):
+        size = int.from_bytes(blob[:8], "little")
+        held.append(blob)
+        at.append(at[-1] + size)
+        count += size
+        if count >= DECODED:
+            found.append(_decoded(held))
+            held, count = [], 0
+    if held:
+        found.append(_decoded(held))
+    parts, shared = zip(*found)
+    return Suffixes.joined(list(parts)), np.concatenate(shared), at
+
+
+def decoded(blob: bytes) -> tuple[Suffixes, np.ndarray]:
+    """The piece, and the shared lengths."""
+    return decoded_pieces([blob])[:2]
+
+
 def merged(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
     """Loser tree over sorted runs: run and place of every string in order, and the prefix it shares with the one before.
 
@@ -494,8 +591,9 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, places: DataFrame, bit
     """(doc, id, found): places and masks of suffixes that hold strings of smaller documents."""
     sample = anchors.where("sample is not null").select("sample").orderBy(F.xxhash64("sample"), "sample").limit(SPLIT_SAMPLE)
     strings = np.unique(np.array(sample.toArrow().column("sample").to_pylist(), f"S{ANCHOR}"))
-    cuts = strings[np.linspace(0, len(strings), 4 * n + 1).astype(int)[1:-1]] if len(strings) else strings
+    cuts = strings[np.linspace(0, len(strings), RANGES * n + 1).astype(int)[1:-1]] if len(strings) else strings
     splitters = np.unique(cuts).astype(f"S{LENGTH}")
+    ranges_, numbers = _buckets(texts.sparkSession, n, RANGES), _buckets(texts.sparkSession, n)
 
     def send(batches):
         held: list[Suffixes] = []
@@ -504,8 +602,8 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, places: DataFrame, bit
             run, rest = sorted_run(Suffixes.joined(held))
             to = np.searchsorted(splitters, np.ascontiguousarray(run.right).view(f"S{LENGTH}").reshape(-1), "right")
             s, e = groups_of(to)
-            pieces = [front_coded(run.take(slice(a, b))) for a, b in zip(s, e)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[s].astype(np.int32)), pa.array(pieces, pa.binary())], ["bucket", "packed"])
+            pieces = front_coded_pieces(run, s, e)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges_[to[s]]), pa.array(pieces, pa.binary())], ["bucket", "packed"])
             if len(rest):
                 rest = rest.take(np.lexsort((rest.place, rest.row)))
                 yield _packed(np.full(len(rest), KNOWN), [rest.doc, rest.row, rest.place, rest.masks().astype(np.int32)])
@@ -515,27 +613,25 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, places: DataFrame, bit
             for part in slices(batch, "text", SLICE // 2):  # compressed
                 found = part.column("found").to_pylist()
                 own = _texts(part.column("text"))
-                held.append(suffixes_of(own, longs_of(part.column("doc")), longs_of(part.column("id")), found, hot.value, 4 * n))
+                held.append(suffixes_of(own, longs_of(part.column("doc")), longs_of(part.column("id")), found, hot.value, n))
                 if sum(map(len, held)) >= RUN:
                     yield from flush()
         if held:
             yield from flush()
 
     def merge(blobs: list[bytes]) -> list[np.ndarray]:
-        parts, shared = zip(*map(decoded, blobs))
-        strings = []
-        for part in parts:
-            flat = part.right.tobytes()
-            strings.append([flat[i : i + LENGTH] for i in range(0, len(flat), LENGTH)])
-        run, place, lengths = merged(strings, [x.tolist() for x in shared])
-        starts = np.cumsum([0, *map(len, parts)])
-        whole = Suffixes.joined(list(parts)).take(starts[np.array(run, np.int64)] + np.array(place, np.int64))
+        whole, shared, at = decoded_pieces(blobs)
+        flat, shared = whole.right.tobytes(), shared.tolist()
+        strings = [flat[i : i + LENGTH] for i in range(0, len(flat), LENGTH)]
+        runs = list(zip(at[:-1], at[1:]))
+        run, place, lengths = merged([strings[a:b] for a, b in runs], [shared[a:b] for a, b in runs])
+        whole = whole.take(np.array(at, np.int64)[np.array(run, np.int64)] + np.array(place, np.int64))
         masks = repeated_strings(whole, np.array(lengths, np.int64))
         on = np.flatnonzero(masks)
         return [whole.doc[on], whole.row[on], whole.place[on], masks[on].astype(np.int32)]
 
     def meet(batches):
-        bucket, blobs = None, []
+        bucket, blobs, known = None, [], []
         marks = [[np.zeros(0, t)] for t in ("i8", "i8", "i4", "i4")]
 
         def keep(found):
@@ -545,7 +641,7 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, places: DataFrame, bit
         for batch in batches:
             for own, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
                 if own == KNOWN:
-                    keep(_unpacked(blob, ["i8", "i8", "i4", "i4"]))
+                    known.append(blob)
                     continue
                 if own != bucket and blobs:
                     keep(merge(blobs))
@@ -554,16 +650,16 @@ def repeated_starts(texts: DataFrame, anchors: DataFrame, places: DataFrame, bit
                 blobs.append(blob)
         if blobs:
             keep(merge(blobs))
+        keep(_unpacked(known, ["i8", "i8", *MARKED])[0])
         doc, ids, *carried = map(np.concatenate, marks)
         order = np.lexsort((carried[0], ids))
-        to = (mix(ids[order].view(np.uint64)) % np.uint64(4 * n)).astype(np.int64)
-        yield _packed(to, [c[order] for c in (doc, ids, *carried)])
+        to = (mix(ids[order].view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        yield _packed(numbers[to], [c[order] for c in (doc, ids, *carried)])
 
     def gather(batches):
         """A row per document: one per document and range would grow as their product."""
-        found = [_unpacked(x, ["i8", "i8", "i4", "i4"]) for batch in batches for x in batch.column("packed").to_pylist()]
-        if found:
-            doc, ids, *carried = (np.concatenate(c) for c in zip(*found))
+        (doc, ids, *carried), _ = _unpacked([x for batch in batches for x in batch.column("packed").to_pylist()], ["i8", "i8", *MARKED])
+        if len(ids):
             doc, ids, told = _told(doc, ids, carried)
             for at in range(0, len(ids), 1 << 14):
                 end = at + (1 << 14)
